@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import packing
+from plumbline.llm import mixing, packing, quality, warc
+from plumbline.staging import scratch_path
 
 
 def _tokenizer() -> str:
@@ -19,5 +21,54 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_pieces(docs, _tokenizer()))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, then read back from the archives."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read_warc(spark, path).select(F.col("record_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").cast(kind).alias("refers_to"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents measured and judged by the rule cascade."""
+    return quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the target weights of their sources."""
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc": op2_warc,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+}
+
 SQL: dict[str, str] = {}
+
+SQL["op3_quality_rules"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), w AS (
+  SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[ \x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines
+  FROM t
+), g AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c
+  FROM (SELECT rid, i, words[i:i+4] AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5))
+), r AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM g WHERE c > 1) GROUP BY rid
+), m AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (rid)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
+       OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 20 * n_dup_lines > n_words) AS kept
+FROM m
+"""
