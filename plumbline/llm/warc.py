@@ -32,6 +32,8 @@ LEAST_SHARD, MOST_SHARD, SHARDS = 1 << 20, 512 << 20, 64
 ROLL_BYTES = 256 << 20
 #: Cells of the id histogram that one pass collects to the driver.
 CELLS = 1 << 14
+#: Tasks that read archives; each takes its share of the files.
+MOST_TASKS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
@@ -166,24 +168,29 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     def shard(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.fillna(np.iinfo("i8").min).astype("i8").to_numpy(), "right"))
 
-    joined = rows.join(same, "sha", "left").withColumn("shard", shard("id"))
+    # what a record refers to travels as a row of its own ahead of the payload, so that payloads move only once
+    notes = meta.join(same, "sha").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", F.lit(0).alias("kind"), "top")
+    both = notes.union(rows.select("id", "url", "payload", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("top"))).withColumn("shard", shard("id"))
     store, folder = _store(path)
     store.create_dir(folder, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, before, copy = None, None, 0
+        roller, noted, top, before, copy = None, None, None, None, 0
         made: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(n) for n in ("shard", "id", "url", "sha", "payload", "copies", "top")]
+            columns = [batch.column(n) for n in ("shard", "id", "url", "sha", "payload", "kind", "top")]
             for row in zip(*columns, strict=True):
-                at, key, url, sha, payload, copies, top = (x.as_py() for x in row)
+                at, key, url, sha, payload, kind, to = (x.as_py() for x in row)
+                if not kind:
+                    noted, top = (key, sha), to
+                    continue
                 if roller is None or roller.shard != at:
                     if roller is not None:
                         made.append(roller.close())
                     roller = _Roller(path, at, roll_bytes)
                 copy = copy + 1 if before == (key, sha) else 0
                 before = (key, sha)
-                revisit = copies is not None and (key != top or copy > 0)
+                revisit = noted == before and (key != top or copy > 0)
                 name, to = (None if x is None else str(x) for x in (key, top if revisit else None))
                 made += roller.add(name, _record(name, url, payload, copy, to, revisit))
         if roller is not None:
@@ -193,7 +200,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             names = ["file", "shard", "records", "bytes", "first_id", "last_id", "sha1"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-    dealt = joined.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "sha", "url")
+    dealt = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "sha", "kind", "url")
     dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
@@ -250,5 +257,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
-    records = manifest.select("file").repartition(F.col("file")).mapInArrow(read, RECORDS)
+    files = manifest.count()
+    records = manifest.select("file").repartition(max(1, min(files, MOST_TASKS)), "file").mapInArrow(read, RECORDS)
     return records if with_payload else records.drop("payload")
