@@ -147,13 +147,17 @@ class Profile:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def profile_rules(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE, seed: int = 7) -> list[Profile]:
-    """Seconds that each rule takes on a sample of ``docs``, and the share of rows it rejects.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, share: float = SAMPLE_SHARE, seed: int = 7) -> DataFrame:
+    """The rows on which rules are measured: at most ``rows``, drawn before anything is computed on them."""
+    return stage(docs.sample(fraction=share, seed=seed).limit(rows), "quality-sample")
+
+
+def profile_rules(sample: DataFrame, rules: list[Rule]) -> list[Profile]:
+    """Seconds that each rule takes on a sample, and the share of its rows that it rejects.
 
     An empty sample gives equal figures, which keep the given order.
     """
-    sample = stage(docs.sample(fraction=share, seed=seed).limit(rows), "quality-sample").cache()
-    total = sample.count()
+    total = sample.cache().count()
     out = []
     for rule in rules:
         began = time.perf_counter()
@@ -179,12 +183,11 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``measure`` with kept: false where base_failed, else the cascade's verdict."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    measured = measure(slim)
-    rules = by_worth(profile_rules(measured, rules_on_measures()))
-    return measured.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    rules = by_worth(profile_rules(measure(sample_of(slim)), rules_on_measures()))
+    return measure(slim).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass every rule, with all their columns."""
-    rules = by_worth(profile_rules(docs.select(text_col), rules_on_text(text_col)))
+    rules = by_worth(profile_rules(sample_of(docs.select(text_col)), rules_on_text(text_col)))
     return docs.where(verdict(rules))
