@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, packing, quality, warc
+from plumbline.llm import mixing, neardup, packing, quality, sharding, warc
 from plumbline.staging import scratch_path
 
 
@@ -40,11 +40,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal counts, equal texts together where they fit."""
+    return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_sharding": op5_sharding,
+    "op6_near_duplicates": op6_near_duplicates,
 }
 
 SQL: dict[str, str] = {}
