@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_CELL = 20_000
-MIN_CELLS = 32
+MIN_CELLS = 256
 
 
 def cells_for(rows: int) -> int:
