@@ -6,17 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing
+from plumbline.llm import mixing, neardup, packing, quality, toxicity
 from plumbline.llm.queries import _tokenizer
 from plumbline.staging import stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from ``docs`` and the labels that are not held out."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that every quality rule lets pass."""
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: that with the smallest id."""
+    return neardup.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-two-fit packing of what is left; the rows of op1."""
+    """Best-two-fit packing of what is left, in the columns of op1; a document taken twice is packed twice."""
     return packing.pack(packing.tokenize_pieces(docs, _tokenizer()))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("pack", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_good),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 #: The classifier, the similarity signatures and the random rounding are not expressible in SQL.
 ORACLE_SQL = None

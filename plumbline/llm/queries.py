@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, neardup, packing, quality, sharding, warc
+from plumbline.llm import ann, mixing, neardup, packing, quality, sharding, tokencount, toxicity, urls, warc
 from plumbline.staging import scratch_path
 
 
@@ -50,6 +50,29 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    import public_tokenizers
+
+    return tokencount.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learnt from the rows that are not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.classify(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by its host's reputation."""
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
@@ -57,6 +80,10 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_sharding": op5_sharding,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_url_filters": op10_url_filters,
 }
 
 SQL: dict[str, str] = {}
@@ -84,3 +111,41 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 20 * n_dup_lines > n_words) AS kept
 FROM m
 """
+
+SQL["op10_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(a, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(a, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), h AS (
+  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+  FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host
+), d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL
+), moments AS (
+  SELECT level, count(*) AS g, sum(n) AS n, sum(k) / sum(n) AS m, sum(n * n) AS nn, sum(k * k / n) AS kk
+  FROM (SELECT 'h' AS level, n, k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s) WHERE n > 0 GROUP BY level
+), fitted AS (
+  SELECT level, m, CASE WHEN n - nn / n <= 0 OR (kk - n * m * m - m * (1 - m) * (g - 1)) / (n - nn / n) <= 1e-12 THEN 1000.0
+    ELSE least(greatest(m * (1 - m) / ((kk - n * m * m - m * (1 - m) * (g - 1)) / (n - nn / n)) - 1, 1.0), 1000.0) END AS w FROM moments
+), f AS (
+  SELECT coalesce(max(m), 0.5) AS m, coalesce(max(w) FILTER (level = 's'), 1.0) AS ws, coalesce(max(w) FILTER (level = 'd'), 1.0) AS wd, coalesce(max(w) FILTER (level = 'h'), 1.0) AS wh FROM fitted
+), sm AS (SELECT suffix, (ws * m + k) / (ws + n) AS mean FROM s, f
+), dm AS (SELECT domain, (wd * mean + k) / (wd + n) AS mean FROM d JOIN sm USING (suffix), f
+), hm AS (SELECT host, n, wh, (wh * mean + k) / (wh + n) AS mean FROM h JOIN dm USING (domain), f
+), bad AS (SELECT host FROM hm WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (wh + 1 + n)) > 0.5
+), r AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR host IN (FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
