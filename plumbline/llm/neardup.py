@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ BANDS, ROWS = 32, 5
 SMALL = 6
 #: Smallest shingle hashes of a node that are compared before a pair across classes is verified.
 SKETCH = 256
+#: Bits of the filter that spares texts outside all pairs their way to a join: 16 a node, at most 2 MB in all.
+MOST_BITS = 1 << 24
 #: Shingles that are worked on at a time.
 CHUNK = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -177,9 +180,27 @@ def _verify(threshold: float):
     return run
 
 
+def _may_hold(nodes: DataFrame):
+    """A test of text hashes that is true for all of ``nodes`` and few others; where nodes are very many, for more others."""
+    n = nodes.count()
+    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    at = nodes.select(F.pmod("th", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    words = at.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("on")).toPandas()
+    table = np.zeros(bits // 32, "i8")
+    table[words["word"].to_numpy("i8")] = words["on"].to_numpy("i8")
+
+    @F.pandas_udf("boolean")
+    def test(th: pd.Series) -> pd.Series:
+        bit = th.to_numpy() & (bits - 1)
+        return pd.Series((table[bit >> 5] >> (bit & 31)) & 1 == 1)
+
+    return test
+
+
 def _of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, hashes) of ``nodes`` of (node, doc_id, th), from the one text of each; only texts are moved, by their id and hash."""
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    text = text.where(_may_hold(nodes)("th"))
     same = text["doc_id"].eqNullSafe(nodes["doc_id"]) & (text["th"] == nodes["th"])
     words = text.join(nodes, same).select("node", words_of(F.col("text")).alias("words")).where(_digest(F.col("words")) == F.col("node"))
     return words.select("node", _shingles(F.col("words")).alias("hashes")).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
