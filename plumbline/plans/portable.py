@@ -1,0 +1,93 @@
+"""Queries over the star schema that one SQL text expresses for Spark; Catalyst plans them.
+
+A board is region, nation, customer, order and line; attributes are the JSON of events;
+rooms are rectangles made from parts. Two spellings differ between Spark and the oracle
+and are given as ``spark|oracle`` pairs in ``DIALECT``.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+#: Words in the queries below, as Spark and as the oracle spell them.
+DIALECT = {
+    "@K": ("try_cast(get_json_object(props, '$.k') AS DOUBLE)", "try_cast(json_extract_string(props, '$.k') AS DOUBLE)"),
+    "@KS": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
+    "@LIKE(": ("rlike(", "regexp_matches("),
+    "@DIV": ("div", "//"),
+}
+
+#: Words that tell where a question belongs.
+_CHECK = r"\\b(compl(y|ies|iant|iance)|meet|meets|satisf(y|ies)|violat[a-z]*|pass(es)?|fail(s)?|conform[a-z]*|permitted by|allowed by|as the spec requires|per the spec|correctly|within|according to)\\b"
+_RULE = r"\\b(spec|specification|minimum|required|requires|rule|clause|standard)\\b"
+_SEEN = r"\\b(where|located|location|layout|look like|looks like|describe the (drawing|plan|layout)|left|right|above|below|next to|adjacent|beside|arrangement|orient[a-z]*|north|south|east|west|opposite|side of)\\b"
+_SPEC = r"\\b(spec|specification|required|requirement|minimum|maximum|shall|allowed|permitted|must|need|needed|should|standard|clause|rule|submission|reviewer|alarm)\\b"
+_DRAWN = r"\\b(this (drawing|plan|part|file)|the (drawing|plan|part)|in the plan|in the drawing|how many|count|total|largest|smallest|overall)\\b"
+
+_LOADS = "SELECT n_nationkey, n_name, c_custkey, sum(l_quantity) AS load, count(*) AS lines, count(DISTINCT o_orderkey) AS feeds, max(o_totalprice) AS rating FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY n_nationkey, n_name, c_custkey"
+
+SQL = {
+    "count_entities_filtered": "SELECT l_returnflag AS layer, count(*) AS n FROM lineitem WHERE upper(l_linestatus) = upper('o') AND l_quantity > 10 GROUP BY l_returnflag",
+    "total_length_by_layer": "SELECT l_returnflag AS layer, round(sum(coalesce(l_quantity, 0)), 2) AS total_length, count(l_quantity) AS entities_counted, round(sum(coalesce(l_quantity, 0)) * 0.001, 4) AS total_length_m FROM lineitem GROUP BY l_returnflag",
+    "find_text_matches": "SELECT doc_id, lang, count(*) OVER () AS n FROM documents WHERE contains(upper(text), upper('idiot'))",
+    "tolerance_match": "SELECT p_partkey FROM part WHERE abs(p_size - 10.0) < 1e-6 * greatest(1.0, 10.0) + 1e-6",
+    "group_type_layer_sets": "SELECT event_type, user_id % 5 AS bucket, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id % 5), (event_type), ())",
+    "diameter_histogram": "SELECT round(2e0 * p_size, 3) AS diameter, count(*) AS n, round(sum(pi() * p_size * p_size), 2) AS total_area FROM part GROUP BY p_size",
+    "layer_extents": "SELECT p_size % 7 AS layer, max(p_partkey % 100) - min(p_partkey % 100) AS width, max(p_retailprice) - min(p_retailprice) AS height FROM part GROUP BY p_size % 7",
+    "entities_in_region": "SELECT event_type, count(*) AS n FROM events WHERE event_id * 37 % 1000 BETWEEN 100 AND 400 AND event_id * 91 % 1000 BETWEEN 200 AND 700 GROUP BY event_type",
+    "attribute_explode": "SELECT event_id, 'k' AS name, @KS AS value FROM events WHERE @KS IS NOT NULL",
+    "attr_key_summary": "SELECT event_type AS block, count(*) AS n, count(DISTINCT @KS) AS distinct_values FROM events GROUP BY event_type",
+    "sum_attribute": "SELECT event_type, count(@K) AS n, coalesce(sum(@K), 0.0) AS total, max(@K) AS largest, min(@K) AS smallest FROM events GROUP BY event_type",
+    "bill_of_materials": "SELECT event_type AS type, concat('k=', @KS) AS spec, count(*) AS qty FROM events GROUP BY event_type, @KS",
+    "component_filter_attr": "SELECT event_id, event_type FROM events WHERE upper(event_type) = upper('Error') AND (upper(@KS) = upper('7.0') OR @K = 7.0)",
+    "argmax_room": "SELECT p_size, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) AS t WHERE r = 1",
+    "tied_labels": "SELECT p_size, p_partkey FROM (SELECT *, rank() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC) AS r FROM part) AS t WHERE r = 1",
+    "nets": "SELECT l_orderkey AS net, count(DISTINCT l_partkey) AS members, min(l_partkey) AS first_part, max(l_partkey) AS last_part FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) > 1",
+    "neighbours": "SELECT a.l_partkey AS part, count(DISTINCT b.l_partkey) AS neighbours FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY a.l_partkey",
+    "downstream_total": "SELECT n_name AS tag, round(sum(load), 2) AS total_load, count(*) AS circuits FROM (" + _LOADS + ") AS t GROUP BY n_name",
+    "downstream_summary": "SELECT c_custkey AS tag, round(load, 2) AS total_load, lines, feeds FROM (" + _LOADS + ") AS t",
+    "board_glance": "SELECT n_name, c_custkey, round(load, 1) AS load, round(load / max(load) OVER (PARTITION BY n_nationkey), 4) AS share FROM (" + _LOADS + ") AS t",
+    "highest_load": "SELECT n_name, c_custkey, round(load, 2) AS load FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY load DESC, c_custkey) AS r FROM (" + _LOADS + ") AS t) AS u WHERE r = 1",
+    "load_limit_verdict": "SELECT n_name, CASE WHEN count(CASE WHEN load > 0.8 * 1000 THEN 1 END) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, count(CASE WHEN load > 0.8 * 1000 THEN 1 END) AS failing FROM (" + _LOADS + ") AS t GROUP BY n_name",
+    "device_limit_verdict": "SELECT s_nationkey, CASE WHEN min(s_acctbal) < 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM supplier GROUP BY s_nationkey",
+    "presence_verdict": "SELECT n_name, CASE WHEN s_nationkey IS NULL THEN 'FAIL' ELSE 'PASS' END AS verdict FROM nation LEFT JOIN (SELECT DISTINCT s_nationkey FROM supplier) AS s ON s_nationkey = n_nationkey",
+    "absent_items": "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')",
+    "size_rule_verdict": "SELECT p_partkey, p_size, capacity, CASE WHEN p_retailprice > capacity THEN 'FAIL' ELSE 'PASS' END AS verdict FROM part JOIN (SELECT 1 AS size, 1000e0 AS capacity UNION ALL SELECT 2, 1200e0 UNION ALL SELECT 4, 1500e0 UNION ALL SELECT 6, 1800e0) AS t ON size = p_size",
+    "accuracy_rollup": "SELECT lang, source, round(avg(quality), 6) AS accuracy, CAST(sum(quality) AS BIGINT) AS hits, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)",
+    "upper_median": "SELECT o_orderstatus, o_totalprice AS median FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) AS t WHERE r = n @DIV 2",
+    "score_number": "SELECT o_orderkey, abs(o_totalprice - round(o_totalprice, -2)) <= greatest(0.01, 0.01 * abs(round(o_totalprice, -2))) AS correct FROM orders",
+    "score_label": "SELECT o_orderkey, o_orderpriority, (upper(o_orderpriority) = '1-URGENT' OR contains(upper(o_orderpriority), 'HIGH')) AS correct FROM orders",
+    "routing_accuracy": "SELECT toxic, round(avg(CASE WHEN quality = 1 THEN 1e0 ELSE 0e0 END), 6) AS share, count(*) AS n FROM labels GROUP BY toxic",
+    "unit_conversion": "SELECT p_partkey, unit, round(p_size * p_size * to_m * to_m, 6) AS area_m2 FROM part JOIN (SELECT 0 AS code, 'mm' AS unit, 0.001e0 AS to_m UNION ALL SELECT 1, 'cm', 0.01e0 UNION ALL SELECT 2, 'm', 1e0 UNION ALL SELECT 3, 'in', 0.0254e0 UNION ALL SELECT 4, 'ft', 0.3048e0) AS u ON code = p_partkey % 5",
+    "door_to_room": "SELECT o_orderkey, c_name, o_totalprice FROM (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) AS t JOIN customer ON c_custkey = o_custkey WHERE r = 1",
+    "drawing_summary": "SELECT l_returnflag AS layer, l_linestatus AS type, count(*) AS n, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "page_summary": "SELECT page_id, CAST(length(html) AS BIGINT) AS chars, CASE WHEN trim(html) = '' THEN true ELSE false END AS scanned FROM pages",
+    "router_labels": f"SELECT conv_id, turn, CASE WHEN @LIKE(lower(text), '{_CHECK}') AND @LIKE(lower(text), '{_RULE}') THEN 'compliance' WHEN @LIKE(lower(text), '{_SEEN}') THEN 'visual' WHEN @LIKE(lower(text), '{_SPEC}') AND NOT @LIKE(lower(text), '{_DRAWN}') THEN 'spec' ELSE 'compute' END AS route FROM conversations WHERE role = 'user'",
+}
+
+
+def spelled(text: str, engine: int) -> str:
+    """The query for Spark (0) or the oracle (1). Regular expressions need their backslashes once in the oracle."""
+    for word in sorted(DIALECT, key=len, reverse=True):
+        text = text.replace(word, DIALECT[word][engine])
+    return text if engine == 0 else text.replace("\\\\", "\\")
+
+
+def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table in TABLES:
+            if re.search(rf"\b{table}\b", text):
+                spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).createOrReplaceTempView(table)
+        return spark.sql(spelled(text, 0))
+
+    return run
+
+
+QUERIES = {name: _run(text) for name, text in SQL.items()}
+ORACLE = {name: spelled(text, 1) for name, text in SQL.items()}
