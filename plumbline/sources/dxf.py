@@ -344,6 +344,10 @@ def entities(parsed: DataFrame) -> DataFrame:
     return one.select(*(["drawing_id"] + [F.col(f"e.{c.split(' ', 1)[0]}") for c in ENTITY.split(", ")[1:]]))
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def drawings(parsed: DataFrame) -> DataFrame:
     """drawing_id, units, to_m, layers, extents and warnings, one row per file.
 
@@ -356,6 +360,6 @@ def drawings(parsed: DataFrame) -> DataFrame:
     geo = F.when(F.size(solid) > 0, solid).otherwise(boxed)
     units = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.col("unit_code")), F.lit("unitless"))
     to_m = F.element_at(F.create_map(*[F.lit(x) for kv in METRES.items() for x in kv]), F.col("units"))
-    ends = [F.coalesce(pick(F.transform("geo", lambda x, c=c: x[c])), F.lit(0.0)).alias(c) for c, pick in (("x_min", F.array_min), ("y_min", F.array_min), ("x_max", F.array_max), ("y_max", F.array_max))]
+    ends = [F.coalesce(pick(F.transform("geo", _field(c))), F.lit(0.0)).alias(c) for c, pick in (("x_min", F.array_min), ("y_min", F.array_min), ("x_max", F.array_max), ("y_max", F.array_max))]
     base = parsed.select("drawing_id", units.alias("units"), F.array_sort(F.array_distinct(F.transform(e, lambda x: x["layer"]))).alias("layers"), geo.alias("geo"), "warnings")
     return base.select("drawing_id", "units", to_m.alias("to_m"), "layers", F.struct(*ends).alias("extents"), "warnings")

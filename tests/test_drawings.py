@@ -20,7 +20,7 @@ def parsed(spark):
 
 
 def manifests(kind):
-    return {m["id"]: m for m in (json.loads(p.read_text()) for p in sorted(SAMPLES.glob("*.json"))) if m["kind"] == kind}
+    return {m["id"].lower(): m for m in (json.loads(p.read_text()) for p in sorted(SAMPLES.glob("*.json"))) if m["kind"] == kind}
 
 
 @needs_samples
