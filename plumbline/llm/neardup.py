@@ -198,12 +198,12 @@ def _may_hold(nodes: DataFrame):
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of ``nodes`` of (node, doc_id, th), from the one text of each; only texts are moved, by their id and hash."""
-    text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    text = text.where(_may_hold(nodes)("th"))
-    same = text["doc_id"].eqNullSafe(nodes["doc_id"]) & (text["th"] == nodes["th"])
-    words = text.join(nodes, same).select("node", words_of(F.col("text")).alias("words")).where(_digest(F.col("words")) == F.col("node"))
-    return words.select("node", _shingles(F.col("words")).alias("hashes")).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+    """(node, hashes) of ``nodes`` of (node, doc_id, th), from the one text of each; only texts are moved, once, by the hashes of id and text."""
+    ih = F.xxhash64("doc_id").alias("ih")  # a null id hashes like a value
+    text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(ih, F.xxhash64("text").alias("th"), "text")
+    once = text.where(_may_hold(nodes)("th")).groupBy("ih", "th").agg(F.any_value("text").alias("text"))
+    words = once.join(nodes.select("node", ih, "th"), ["ih", "th"]).select("node", words_of(F.col("text")).alias("words"))
+    return words.where(_digest(F.col("words")) == F.col("node")).select("node", _shingles(F.col("words")).alias("hashes"))
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
@@ -244,15 +244,15 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_i
     nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.any_value("bands").alias("bands"))
     nodes = stage(nodes.select("node", "first.doc_id", "first.th", "bands"), "nd-nodes")
     member = nodes.select("node", F.explode("bands").alias("key"))
-    lot = F.struct(F.xxhash64("node", "key").alias("h"), "node")
-    buckets = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(lot)["node"].alias("centre")).where("n > 1"), "nd-buckets")
+    counts = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nd-buckets")
+    placed = stage(member.join(counts, "key").select("key", "node", "n"), "nd-members")
 
-    twos = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    placed = stage(member.join(buckets.where("n > 2"), "key").select("key", "node", "n", "centre"), "nd-members")
     few = placed.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("g"))
     few = few.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    stars = placed.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre"))).select(*_ordered(F.col("node"), F.col("centre")))
-    pairs = stage(twos.union(few).union(stars).distinct(), "nd-pairs")
+    lot = F.struct(F.xxhash64("node", "key").alias("h"), "node")
+    centres = placed.where(F.col("n") > SMALL).groupBy("key").agg(F.min(lot)["node"].alias("centre"))
+    stars = placed.where(F.col("n") > SMALL).join(centres, "key").where(F.col("node") != F.col("centre")).select(*_ordered(F.col("node"), F.col("centre")))
+    pairs = stage(few.union(stars).distinct(), "nd-pairs")
     paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "th"), "node")
     shingled = stage(_of_nodes(docs, stage(paired, "nd-paired"), id_col, text_col), "nd-shingles")
     links = stage(verified(pairs, shingled, threshold), "nd-links")
