@@ -102,9 +102,15 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
     For each common element, the sum over all others of the larger of the two relative
     weights splits at its own ratio of weights, so prefix sums by ratio give them all.
+    Where all weights are 1 it is the plain Jaccard.
     """
     if not len(a) or not len(b):
         return 0.0
+    if wa.max() == wb.max() == 1.0:  # no weight is below 1
+        both = np.concatenate([a, b])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return common / (len(both) - common)
     union = np.union1d(a, b)
     x, y = np.zeros(len(union)), np.zeros(len(union))
     x[np.searchsorted(union, a)] = wa
@@ -160,20 +166,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weigh(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, _, w = weighted(values, np.zeros(len(values), "i8"))
-    return h, w
+    h, times = np.unique(values, return_counts=True)
+    return h, 1.0 + np.log(times)
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = [], None, None
-            a, left_values, right_values = batch.column(0), batch.column(2), batch.column(3)
+            keep, last, right = [], None, None
+            b, left_values, right_values = batch.column(1), batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
-                name = a[i].as_py()
-                if name != last:
-                    last, left = name, _weigh(left_values[i].values.to_numpy().view("u8"))
-                right = _weigh(right_values[i].values.to_numpy().view("u8"))
+                name = b[i].as_py()
+                if name != last:  # rows come sorted by b from the join
+                    last, right = name, _weigh(right_values[i].values.to_numpy().view("u8"))
+                left = _weigh(left_values[i].values.to_numpy().view("u8"))
                 keep.append(probability_jaccard(*left, *right) >= threshold - 1e-12)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 

@@ -192,6 +192,10 @@ def test_probability_jaccard_and_its_estimate():
     brute = sum(1 / sum(max(xa.get(j, 0) / xa[i], xb.get(j, 0) / xb[i]) for j in {*xa, *xb}) for i in xa.keys() & xb.keys())
     exact = neardup.probability_jaccard(a, wa, b, wb)
     assert math.isclose(exact, brute, rel_tol=1e-9)
+    ones = np.ones(len(a)), np.ones(len(b))
+    plain = len(xa.keys() & xb.keys()) / len({*xa, *xb})
+    assert neardup.probability_jaccard(a, ones[0], b, ones[1]) == plain
+    assert math.isclose(neardup.probability_jaccard(a, 2 * ones[0], b, 3 * ones[1]), neardup.probability_jaccard(a, ones[0], b, ones[1] * 1.5), rel_tol=1e-9)
     doc = np.repeat([0, 1], [len(a), len(b)])
     s = neardup.signatures(np.concatenate([a, b]), doc, np.concatenate([wa, wb]), 2, 4096)
     assert abs((s[0] == s[1]).mean() - exact) < 0.035
