@@ -62,7 +62,12 @@ class Trie:
     """
 
     def __init__(self, pieces: dict[str, float], most_nodes: int = MOST_NODES):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.ends: dict = {}  # the pieces as a trie from their last character to the first; "" holds a piece's score
+        for piece, gain in pieces.items():
+            at = self.ends
+            for c in reversed(piece):
+                at = at.setdefault(c, {})
+            at[""] = gain
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.most_nodes = most_nodes
         self.counts = _Counts(self)
@@ -80,21 +85,22 @@ class Trie:
 
     def _insert(self, text: str) -> int:
         way = [self.root]
-        pieces, longest = self.pieces, self.longest
-        for end in range(1, len(text) + 1):
-            node = way[-1][0].get(text[end - 1])
+        for end, last in enumerate(text):
+            before = way[end]
+            node = before[0].get(last)
             if node is None:
-                last = text[end - 1]
-                before = way[-1]
                 score, tokens = before[1] + self.unknown, before[2] + len(last.encode())
-                for start in range(max(0, end - longest), end):
-                    gain = pieces.get(text[start:end])
+                piece, start = self.ends.get(last), end
+                while piece is not None:
+                    gain = piece.get("")
                     if gain is not None:
                         at = way[start]
                         s, t = at[1] + gain, at[2] + 1
                         if s > score or (s == score and t < tokens):
                             score, tokens = s, t
-                node = way[-1][0][last] = [{}, score, tokens]
+                    start -= 1
+                    piece = piece.get(text[start]) if start >= 0 else None
+                node = before[0][last] = [{}, score, tokens]
                 self.nodes += 1
                 self.scored += 1
             way.append(node)
