@@ -66,7 +66,8 @@ class CollisionIndex:
                     hits = np.concatenate([self.order[j, lo[t, j] : hi[t, j]] for j in range(m)])
                     rows = np.flatnonzero(np.bincount(hits, minlength=n) >= SHARE * m)
                 rows = rows[rows != own[q]]
-                cosines = (self.vectors[rows] @ queries[q]) / (self.norms[rows] * norms[q])
+                # Summed row by row: a matrix product may round equal vectors apart, and ties then go to any id.
+                cosines = (self.vectors[rows] * queries[q]).sum(1) / (self.norms[rows] * norms[q])
                 if len(rows) > k:
                     part = np.argpartition(-cosines, k - 1)[:k]
                     part = np.flatnonzero(cosines >= cosines[part].min())  # ties at the edge are settled by id later
