@@ -17,11 +17,12 @@ smallest hashes do not rule it out, is verified too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.graph import connected_components
@@ -39,10 +40,24 @@ SKETCH = 256
 #: Bits of the filter that spares texts outside all pairs their way to a join: 16 a node, at most 2 MB in all.
 MOST_BITS = 1 << 24
 #: Shingles that are worked on at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
+#: Rows that a Python worker is sent at a time; a batch is also bounded in bytes by Spark's own setting.
+BATCH = 1_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Send Python workers ``BATCH`` rows at a time at most, for the jobs that run within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -163,6 +178,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype("i4")
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[full].ravel()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands], names=["doc_id", "th", "node", "bands"])
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
 
 def _weigh(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +198,7 @@ def _verify(threshold: float):
                 left = _weigh(left_values[i].values.to_numpy().view("u8"))
                 keep.append(probability_jaccard(*left, *right) >= threshold - 1e-12)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -242,6 +259,11 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_i
     words (and null texts) are copies of each other and near to nothing else. Repeated
     rows and ids share the class of their text. An empty table gives an empty table.
     """
+    with _small_batches(docs.sparkSession):
+        return _classes(docs, threshold, id_col, text_col)
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     words = text.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
