@@ -4,7 +4,8 @@ Unit vectors are projected on random directions; each direction's values are hel
 sorted array. A query's window on an array is centred at its own projection. Windows of
 all directions widen together (virtual rehashing: no bucket is ever rebuilt), and a vector
 that falls in more than a set share of the windows is verified with its exact cosine. A
-query is done when its k-th best verified vector is nearer than the windows reach.
+query is done when the k-th best verified id other than its own is nearer than the windows
+reach; of an id found on several rows the best one counts.
 """
 
 from __future__ import annotations
@@ -36,18 +37,19 @@ def usable(vector: Column) -> Column:
 
 
 class CollisionIndex:
-    """Sorted projections of up to some ten thousand vectors."""
+    """Sorted projections of up to some ten thousand vectors; ``names`` are their ids, which may repeat."""
 
-    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
-        self.vectors = vectors
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
+        self.names, self.vectors = names, vectors
+        self.repeats = len(np.unique(names)) < len(names)
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         values = (vectors / self.norms[:, None]) @ self.directions
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values, self.order.T, 0).T.copy()
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, (rows, cosines) of the nearest found, at most k. ``own`` masks rows out: -1, or the row's number."""
+    def search(self, queries: np.ndarray, ids: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, (rows, cosines) of the k nearest ids found and ties, one row an id. Rows of a query's own id in ``ids`` are left out."""
         norms = np.sqrt((queries * queries).sum(1))
         centres = (queries / norms[:, None]) @ self.directions
         found: list[tuple] = [(np.zeros(0, "i8"), np.zeros(0))] * len(queries)
@@ -65,9 +67,13 @@ class CollisionIndex:
                 else:
                     hits = np.concatenate([self.order[j, lo[t, j] : hi[t, j]] for j in range(m)])
                     rows = np.flatnonzero(np.bincount(hits, minlength=n) >= SHARE * m)
-                rows = rows[rows != own[q]]
+                rows = rows[self.names[rows] != ids[q]]
                 # Summed row by row: a matrix product may round equal vectors apart, and ties then go to any id.
                 cosines = (self.vectors[rows] * queries[q]).sum(1) / (self.norms[rows] * norms[q])
+                if self.repeats:
+                    order = np.lexsort((-cosines, self.names[rows]))
+                    best = order[np.unique(self.names[rows[order]], return_index=True)[1]]
+                    rows, cosines = rows[best], cosines[best]
                 if len(rows) > k:
                     part = np.argpartition(-cosines, k - 1)[:k]
                     part = np.flatnonzero(cosines >= cosines[part].min())  # ties at the edge are settled by id later
@@ -80,15 +86,24 @@ class CollisionIndex:
         return found
 
 
+def _distinct(names: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows without copies of the same id and vector."""
+    keep, seen = np.ones(len(names), bool), set()
+    _, inverse, times = np.unique(names, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(times[inverse] > 1):
+        key = names[i], vectors[i].tobytes()
+        keep[i] = key not in seen
+        seen.add(key)
+    return (names, vectors) if keep.all() else (names[keep], vectors[keep])
+
+
 def _search(queries: np.ndarray, ids: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
-            names = np.concatenate([x[0] for x in held])
-            index = CollisionIndex(np.concatenate([x[1] for x in held]))
-            place = {int(v): i for i, v in enumerate(names)}
-            own = np.array([place.get(int(q), -1) for q in ids], "i8")
+            names, vectors = _distinct(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            index = CollisionIndex(names, vectors)
             parts = []
-            for q, (rows, cosines) in zip(ids, index.search(queries, own, k), strict=True):
+            for q, (rows, cosines) in zip(ids, index.search(queries, ids, k), strict=True):
                 keep = np.lexsort((names[rows], -cosines))[:k]
                 parts.append((np.full(len(keep), q), names[rows[keep]], cosines[keep]))
             columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]

@@ -265,6 +265,28 @@ def test_neighbours_reach_recall(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).count() == 1
 
 
+def test_neighbours_count_ids_not_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((200, 16))
+    plain = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    near = [(7, [float(x) for x in vectors[50] + 0.01 * j]) for j in range(1, 9)]  # one id on eight other rows
+    schema = "vec_id long, embedding array<double>"
+    unit = {i: vectors[[i]] / np.linalg.norm(vectors[i]) for i in range(200)}
+
+    def check(rows, best):
+        got = collections.defaultdict(list)
+        for r in sorted(ann.nearest(spark.createDataFrame(rows, schema).repartition(1)).collect(), key=lambda r: r["rank"]):
+            got[r["query_id"]].append(r["vec_id"])
+        for q in range(0, 200, 50):
+            cos = {i: (best.get(i, unit[i]) @ unit[q][0]).max() for i in range(200) if i != q}
+            assert got[q] == sorted(cos, key=lambda i: (-cos[i], i))[:5]
+
+    check(plain + 5 * plain[:1], {})  # six equal rows of a query's id
+    check(plain + plain, {})
+    more = np.array([vectors[7], *(v for _, v in near)])
+    check(plain + near, {7: more / np.linalg.norm(more, axis=1)[:, None]})
+
+
 def test_url_rules_and_reputation(spark):
     rows = [(0, "https://A.Example.ORG/en/12?x#y"), (1, "http://example.org/es/"), (2, "http://org/"), (3, "http://x.com/de/1"), (4, None), (5, "nothing"), (6, "http://notexample.org/en/1"), (7, "ftp://u.net?q/p"), (8, "http://x.com/fr/")]
     rows += [(100 + i, "http://bad.net/p") for i in range(60)] + [(200 + i, "http://good.net/p") for i in range(60)]
