@@ -10,8 +10,9 @@ their weighted shingles, which is the plain Jaccard where no shingle is found tw
 Nodes that agree in a band of registers are candidates: all pairs in small buckets, and in
 larger ones each node with one centre, drawn anew for every bucket. Candidates are verified
 on exact similarities and their classes joined up. Where a large bucket then still holds
-several classes, every pair across classes that shares a second band, and whose shingles'
-smallest hashes do not rule it out, is verified too.
+several classes, every pair across classes that shares a second band is verified too, save
+pairs that their shingles' smallest hashes rule out. Where a shingle is found twice, only
+texts whose hashes are all held are ruled out, by a bound of the weighted similarity.
 """
 
 from __future__ import annotations
@@ -239,13 +240,23 @@ def verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFra
 def _likely(threshold: float) -> Column:
     """True unless the sketches of the nodes x and y rule out the threshold.
 
-    Whole sketches of shingles found once each give the similarity itself. Others estimate
-    it with a deviation of at most 0.03, and pass down to 0.15 below the threshold.
+    Where no shingle is found twice, whole sketches give the similarity itself; others
+    estimate it with a deviation of at most 0.03, and pass down to 0.15 below the threshold.
+    With other weights it is at most the relative weight, in either text, of the shingles
+    they share. Each other one weighs 1 at least, and n shingles found m times in all weigh
+    n * (1 + ln(m / n)) at most, so whole sketches bound it; pairs of others all pass.
     """
     shared = F.size(F.array_intersect("x.sketch", "y.sketch"))
     exact = shared >= (threshold - 1e-9) * (F.size("x.sketch") + F.size("y.sketch") - shared)
     near = shared >= (threshold - 0.15) * F.least(F.size("x.sketch"), F.size("y.sketch"))
-    return F.when(F.col("x.whole") & F.col("y.whole"), exact).otherwise(near)
+    whole = F.col("x.whole") & F.col("y.whole")
+
+    def within(side: str) -> Column:
+        n = F.size(f"{side}.sketch")
+        return n - shared <= (1 - threshold + 1e-9) * n * (1 + F.log(F.col(f"{side}.found") / n))
+
+    plain = F.when(whole, exact).otherwise(near)
+    return F.when(F.col("x.unit") & F.col("y.unit"), plain).otherwise(~whole | (within("x") & within("y")))
 
 
 def _ordered(x, y):
@@ -290,7 +301,7 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     labelled = stage(large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "nd-large")
     split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     own = F.array_distinct("hashes")
-    sketch = shingled.select("node", F.slice(F.sort_array(own), 1, SKETCH).alias("sketch"), ((F.size(own) == F.size("hashes")) & (F.size("hashes") <= SKETCH)).alias("whole"))
+    sketch = shingled.select("node", F.slice(F.sort_array(own), 1, SKETCH).alias("sketch"), (F.size(own) <= SKETCH).alias("whole"), (F.size(own) == F.size("hashes")).alias("unit"), F.size("hashes").alias("found"))
     rest = stage(labelled.join(split, "key", "left_semi").join(nodes.select("node", "bands"), "node").join(sketch, "node"), "nd-split")
     if not rest.isEmpty():
         one, two = rest.alias("x"), rest.alias("y")

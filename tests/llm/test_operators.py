@@ -183,6 +183,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.one_of_each(documents(spark, ["a b", "a b", "c"], [None, None, 4])).count() == 2
 
 
+def test_near_duplicates_of_repeated_passages_are_not_ruled_out(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [" ".join([passage] * 51 + [f"t{i}x{j}" for j in range(11 if i < 2 else 22)]) for i in range(150)]
+    sets = []
+    for t in texts[:3]:
+        w = t.split()
+        sets.append(collections.Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4)))
+    names = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+
+    def similarity(a, b):
+        both = [sorted((names[x], 1 + math.log(n)) for x, n in s.items()) for s in (a, b)]
+        return neardup.probability_jaccard(*(np.array(v) for m in both for v in zip(*m, strict=True)))
+
+    # two texts are near; the others, which crowd their buckets, are near to nothing
+    assert len(sets[0] & sets[1]) / len(sets[0]) < 0.65 and similarity(sets[0], sets[1]) >= 0.8 > similarity(sets[0], sets[2])
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(150)}
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(1)
     a, b = np.unique(rng.integers(1, 2**60, 150).astype("u8")), None
