@@ -82,10 +82,12 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         for j in range(shards):
             rest = {p: n - quota[p] for p, n in sorted(wants.items()) if p[1] == j and n > quota[p]}
             total, left = sum(rest.values()), max(0, room[j])
-            for p, n in rest.items():
-                more = n if total <= room[j] else n * max(0, room[j]) // total
-                quota[p] += min(more, left)
-                left -= min(more, left)
+            shares = {p: n if total <= left else n * left // total for p, n in rest.items()}
+            left -= sum(shares.values())
+            for p, n in rest.items():  # what flooring leaves goes to requests in order, so that a shard fills up and is no longer asked
+                more = min(left, n - shares[p])
+                quota[p] += shares[p] + more
+                left -= more
         granted = {p: n for p, n in quota.items() if n > 0}
         if not granted:
             break

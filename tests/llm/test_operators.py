@@ -149,6 +149,14 @@ def test_sharding_balances_and_keeps_groups(spark):
     assert max(tight.values()) - min(tight.values()) <= 1
 
 
+def test_propagation_fills_shards_to_the_last_place(spark):
+    groups = spark.createDataFrame([(b"hot", 240)], "hub binary, members long")
+    assert sorted(r["n"] for r in sharding.propagate(groups, [90] * 8).collect()) == [60, 90, 90]
+    rows = sharding.shard(documents(spark, ["hot"] * 240 + ["one%d" % i for i in range(480)])).collect()
+    assert len({r["shard"] for r in rows if r["doc_id"] < 240}) == 3
+    assert set(collections.Counter(r["shard"] for r in rows).values()) == {90}
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
