@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent, a single-process local master gets a temporary
-    folder; any other master uses the warehouse, which its executors share.
+    Where the setting is absent, a single-process local master gets a temporary folder.
+    Any other master uses the warehouse if that lies in a shared store, and raises where
+    it is a plain local path, which other machines could not read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,17 +21,32 @@ def scratch_root(spark: SparkSession) -> str:
     root = getattr(spark, "_plumbline_scratch", None)
     if root is None:
         master = spark.sparkContext.master
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         if master == "local" or master.startswith("local["):
             root = tempfile.mkdtemp(prefix="plumbline-")
+        elif ":" in warehouse and not warehouse.startswith("file:"):
+            root = warehouse + "/_scratch"
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark._plumbline_scratch = root
     return root
 
 
+def _path(spark: SparkSession, path: str):
+    """The path as the JVM has it, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch folder; nothing exists there yet."""
-    return f"{scratch_root(spark)}/plumbline/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the scratch folder; nothing exists there yet. The application's folder goes when the driver's JVM ends."""
+    home = f"{scratch_root(spark)}/plumbline/{spark.sparkContext.applicationId}"
+    if getattr(spark, "_plumbline_home", None) != home:
+        at, store = _path(spark, home)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        spark._plumbline_home = home
+    return f"{home}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -38,4 +54,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._plumbline_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, once all that is made from them is itself staged."""
+    for table in tables:
+        at, store = _path(table.sparkSession, table._plumbline_path)
+        store.delete(at, True)
