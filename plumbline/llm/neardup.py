@@ -7,16 +7,19 @@ A shingle whose next arrival comes after all registers are held can no longer wi
 stops there. Two texts then agree in a register with the probability Jaccard similarity of
 their weighted shingles, which is the plain Jaccard where no shingle is found twice.
 
-Nodes that agree in a band of registers are candidates: all pairs in small buckets, and in
-larger ones each node with one centre, drawn anew for every bucket. Candidates are verified
-on exact similarities and their classes joined up. Where a large bucket then still holds
-several classes, every pair across classes that shares a second band is verified too, save
-pairs that their shingles' smallest hashes rule out. Where a shingle is found twice, only
-texts whose hashes are all held are ruled out, by a bound of the weighted similarity.
+Nodes that agree in a band of registers are candidates if two short sketches let them pass.
+Enough of all their registers must agree, which estimates the same similarity: a pair of
+the threshold fails with a chance of one in a million at most. And the parities of their
+shingles, by hash cell, must differ in few cells: each differing cell proves a shingle that
+only one text has, and too many of these bound the similarity below the threshold. First each node of a bucket is compared with one
+centre; links that hold on exact similarities join nodes to classes. Where a bucket then
+still holds several classes, all candidates across classes are verified as well, so the
+classes are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,22 +31,27 @@ from pyspark.sql import functions as F
 
 from plumbline.graph import connected_components
 from plumbline.llm.quality import text_of, window_hashes, words_of
-from plumbline.staging import stage
+from plumbline.staging import discard, stage
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 32, some 3 in a million.
 BANDS, ROWS = 32, 5
-#: Nodes of a bucket up to which all its pairs are candidates.
-SMALL = 6
-#: Smallest shingle hashes of a node that are compared before a pair across classes is verified.
-SKETCH = 256
+#: The chance that the agreement of all registers turns a pair of the threshold down.
+MISS = 1e-6
+#: Cells of parities, 64 to a word.
+CELLS = 2_048
+#: Nodes of a bucket that are compared in one piece with as many others; larger buckets are cut into a grid.
+PIECE = 2_048
 #: Bits of the filter that spares texts outside all pairs their way to a join: 16 a node, at most 2 MB in all.
 MOST_BITS = 1 << 24
 #: Shingles that are worked on at a time.
-CHUNK = 1 << 16
+CHUNK, CHUNK_DOCS = 1 << 16, 512
 #: Rows that a Python worker is sent at a time; a batch is also bounded in bytes by Spark's own setting.
 BATCH = 1_000
+#: 64-bit words that hold four bits of each register.
+PACKS = BANDS * ROWS // 16
+SKETCH = "struct<words: array<bigint>, distinct: int, extra: double>"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,6 +150,60 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((1.0 / (below[both] / x[both] + above[both] / y[both])).sum())
 
 
+def pack_registers(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a 64-bit word."""
+    bits = (_mix(signature.astype("u8")) >> np.uint64(60)).reshape(len(signature), -1, 16)
+    return (bits << (np.arange(16, dtype="u8") * np.uint64(4))).sum(2, dtype="u8").view("i8")
+
+
+def parities(hashes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Whether each cell holds an odd number of a document's distinct shingles, 64 cells to a word."""
+    cell = (_mix(hashes ^ _GOLDEN) % np.uint64(CELLS)).astype("i8")
+    odd = (np.bincount(doc * CELLS + cell, minlength=docs * CELLS) & 1).astype("u1")
+    return np.packbits(odd, bitorder="little").view("i8").reshape(docs, CELLS // 64)
+
+
+def likely(x: str, y: str, threshold: float) -> Column:
+    """True unless the sketches of the columns ``x`` and ``y``, structs of (words, distinct, extra), rule out the threshold.
+
+    If d shingles are in one text only, S is the sum of both numbers of distinct shingles
+    and E that of their weights beyond 1, then the similarity is at most
+    ((S - d) / 2 + E) / ((S + d) / 2), as a common shingle i adds at most its larger weight
+    over the size of the union. It is also at most the relative weight of the shared
+    shingles in either text, hence d <= (1 - threshold) (S + E). Differing parities count
+    no more than d.
+    """
+    ones = F.lit(0x1111111111111111)
+    registers, cells = F.lit(0), F.lit(0)
+    for k in range(PACKS + CELLS // 64):
+        both = F.get(F.col(x)["words"], F.lit(k)).bitwiseXOR(F.get(F.col(y)["words"], F.lit(k)))
+        if k < PACKS:
+            half = both.bitwiseOR(F.shiftrightunsigned(both, 1))
+            registers = registers + F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(ones))
+        else:
+            cells = cells + F.bit_count(both)
+    size = F.col(x)["distinct"] + F.col(y)["distinct"]
+    extra = F.col(x)["extra"] + F.col(y)["extra"]
+    most = F.least(((1 - threshold) * size + 2 * extra) / (1 + threshold), (1 - threshold) * (size + extra))
+    return (cells <= most + 1e-6) & (registers <= most_differing(threshold))
+
+
+def most_differing(threshold: float, registers: int = BANDS * ROWS, miss: float = MISS) -> int:
+    """Registers that may differ so that a pair of the threshold passes but for a chance of ``miss``.
+
+    Registers are independent and differ with probability 1 - threshold; one in sixteen
+    of those agrees in its four bits all the same.
+    """
+    p = (1 - threshold) * 15 / 16
+    above, n = 0.0, registers
+    while n > 0:
+        above += math.comb(registers, n) * p**n * (1 - p) ** (registers - n)
+        if above > miss:
+            break
+        n -= 1
+    return n
+
+
 def _digest(words: Column) -> Column:
     return F.unhex(F.md5(F.array_join(words, " ")))
 
@@ -153,11 +215,11 @@ def _shingles(words: Column) -> Column:
 
 
 def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of documents of some ``CHUNK`` shingles; a longer document is a run of its own."""
+    """Runs of at most ``CHUNK_DOCS`` documents of some ``CHUNK`` shingles; a longer document is a run of its own."""
     start = 0
     while start < len(offsets) - 1:
         end = int(np.searchsorted(offsets, offsets[start] + CHUNK, "right")) - 1
-        end = max(start + 1, min(end, len(offsets) - 1))
+        end = max(start + 1, min(end, start + CHUNK_DOCS, len(offsets) - 1))
         yield start, end
         start = end
 
@@ -167,18 +229,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = batch.column(3)
         offsets = column.offsets.to_numpy()
         values = column.values.to_numpy().view("u8")
-        keys, has = [], []
+        keys, words, totals, has = [np.zeros((0, BANDS), "i8")], [np.zeros((0, PACKS + CELLS // 64), "i8")], [np.zeros((0, 2))], [np.zeros(0, bool)]
         for start, end in _chunks(offsets):
-            sizes = np.diff(offsets[start : end + 1])
-            doc = np.repeat(np.arange(end - start), sizes)
-            h, d, w = weighted(values[offsets[start] : offsets[end]], doc)
-            keys.append(band_keys(signatures(h, d, w, end - start, BANDS * ROWS), BANDS, ROWS))
+            docs, sizes = end - start, np.diff(offsets[start : end + 1])
+            h, d, w = weighted(values[offsets[start] : offsets[end]], np.repeat(np.arange(docs), sizes))
+            signature = signatures(h, d, w, docs, BANDS * ROWS)
+            keys.append(band_keys(signature, BANDS, ROWS))
+            words.append(np.hstack([pack_registers(signature), parities(h, d, docs)]))
+            totals.append(np.stack([np.bincount(d, minlength=docs), np.bincount(d, w - 1, docs)], 1))
             has.append(sizes > 0)
-        flat = np.concatenate(keys) if keys else np.zeros((0, BANDS), "i8")
-        full = np.concatenate(has) if has else np.zeros(0, bool)
-        ends = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype("i4")
-        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[full].ravel()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands], names=["doc_id", "th", "node", "bands"])
+        full, sums = np.concatenate(has), np.concatenate(totals)
+
+        def listed(parts: list[np.ndarray]) -> pa.Array:
+            flat = np.concatenate(parts)
+            ends = np.concatenate([[0], np.cumsum(np.where(full, flat.shape[1], 0))]).astype("i4")
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[full].ravel()))
+
+        sketch = pa.StructArray.from_arrays([listed(words), pa.array(sums[:, 0].astype("i4")), pa.array(sums[:, 1])], names=["words", "distinct", "extra"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], listed(keys), sketch], names=["doc_id", "th", "node", "bands", "sketch"])
     pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
 
@@ -204,11 +272,11 @@ def _verify(threshold: float):
     return run
 
 
-def _may_hold(nodes: DataFrame):
-    """A test of text hashes that is true for all of ``nodes`` and few others; where nodes are very many, for more others."""
-    n = nodes.count()
+def _may_hold(hashes: DataFrame):
+    """A test of hashes that is true for all of the one column of ``hashes`` and few others; where those are very many, for more others."""
+    n = hashes.count()
     bits = min(MOST_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
-    at = nodes.select(F.pmod("th", F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
+    at = hashes.select(F.pmod(hashes.columns[0], F.lit(bits)).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
     words = at.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("on")).toPandas()
     table = np.zeros(bits // 32, "i8")
     table[words["word"].to_numpy("i8")] = words["on"].to_numpy("i8")
@@ -222,49 +290,23 @@ def _may_hold(nodes: DataFrame):
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of ``nodes`` of (node, doc_id, th), from the one text of each; only texts are moved, once, by the hashes of id and text."""
+    """(nid, hashes) of ``nodes`` of (nid, node, doc_id, th), from the one text of each; only texts are moved, once, by the hashes of id and text."""
     ih = F.xxhash64("doc_id").alias("ih")  # a null id hashes like a value
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(ih, F.xxhash64("text").alias("th"), "text")
-    once = text.where(_may_hold(nodes)("th")).groupBy("ih", "th").agg(F.any_value("text").alias("text"))
-    words = once.join(nodes.select("node", ih, "th"), ["ih", "th"]).select("node", words_of(F.col("text")).alias("words"))
-    return words.where(_digest(F.col("words")) == F.col("node")).select("node", _shingles(F.col("words")).alias("hashes"))
+    once = text.where(_may_hold(nodes.select("th"))("th")).groupBy("ih", "th").agg(F.any_value("text").alias("text"))
+    words = once.join(nodes.select("nid", "node", ih, "th"), ["ih", "th"]).select("nid", "node", words_of(F.col("text")).alias("words"))
+    return words.where(_digest(F.col("words")) == F.col("node")).select("nid", _shingles(F.col("words")).alias("hashes"))
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs``, two nodes each, whose similarity by ``shingled`` of (node, hashes) reaches ``threshold``."""
-    left = shingled.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    right = shingled.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(threshold), "a binary, b binary")
-
-
-def _likely(threshold: float) -> Column:
-    """True unless the sketches of the nodes x and y rule out the threshold.
-
-    Where no shingle is found twice, whole sketches give the similarity itself; others
-    estimate it with a deviation of at most 0.03, and pass down to 0.15 below the threshold.
-    With other weights it is at most the relative weight, in either text, of the shingles
-    they share. Each other one weighs 1 at least, and n shingles found m times in all weigh
-    n * (1 + ln(m / n)) at most, so whole sketches bound it; pairs of others all pass.
-    """
-    shared = F.size(F.array_intersect("x.sketch", "y.sketch"))
-    exact = shared >= (threshold - 1e-9) * (F.size("x.sketch") + F.size("y.sketch") - shared)
-    near = shared >= (threshold - 0.15) * F.least(F.size("x.sketch"), F.size("y.sketch"))
-    whole = F.col("x.whole") & F.col("y.whole")
-
-    def within(side: str) -> Column:
-        n = F.size(f"{side}.sketch")
-        return n - shared <= (1 - threshold + 1e-9) * n * (1 + F.log(F.col(f"{side}.found") / n))
-
-    plain = F.when(whole, exact).otherwise(near)
-    return F.when(F.col("x.unit") & F.col("y.unit"), plain).otherwise(~whole | (within("x") & within("y")))
-
-
-def _ordered(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+    """The (a, b) of ``pairs``, two nodes each, whose similarity by ``shingled`` of (nid, hashes) reaches ``threshold``."""
+    left = shingled.select(F.col("nid").alias("a"), F.col("hashes").alias("ha"))
+    right = shingled.select(F.col("nid").alias("b"), F.col("hashes").alias("hb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, class_node, class_id): one row per row of ``docs``.
+    """(doc_id, th, class_node, class_id): one row per row of ``docs``; th is the hash of the text.
 
     class_id is the smallest id of the class, null only if all its ids are. Texts without
     words (and null texts) are copies of each other and near to nothing else. Repeated
@@ -274,47 +316,87 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_i
         return _classes(docs, threshold, id_col, text_col)
 
 
-def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Staged (doc_id, th, node, bands, sketch) of all rows, and one row per node with a number ``nid`` of its own in random order."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     words = text.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     made = words.select("doc_id", "th", _digest(F.col("words")).alias("node"), _shingles(F.col("words")).alias("hashes"))
-    signed = stage(made.mapInArrow(_sign, f"doc_id {kind}, th long, node binary, bands array<bigint>"), "nd-bands")
-    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.any_value("bands").alias("bands"))
-    nodes = stage(nodes.select("node", "first.doc_id", "first.th", "bands"), "nd-nodes")
-    member = nodes.select("node", F.explode("bands").alias("key"))
-    counts = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nd-buckets")
-    placed = stage(member.join(counts, "key").select("key", "node", "n"), "nd-members")
-
-    few = placed.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("g"))
-    few = few.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    lot = F.struct(F.xxhash64("node", "key").alias("h"), "node")
-    centres = placed.where(F.col("n") > SMALL).groupBy("key").agg(F.min(lot)["node"].alias("centre"))
-    stars = placed.where(F.col("n") > SMALL).join(centres, "key").where(F.col("node") != F.col("centre")).select(*_ordered(F.col("node"), F.col("centre")))
-    pairs = stage(few.union(stars).distinct(), "nd-pairs")
-    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id", "th"), "node")
-    shingled = stage(_of_nodes(docs, stage(paired, "nd-paired"), id_col, text_col), "nd-shingles")
+    signed = stage(made.mapInArrow(_sign, f"doc_id {kind}, th long, node binary, bands array<bigint>, sketch {SKETCH}"), "nd-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    nodes = signed.groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    numbered = nodes.select(F.xxhash64(F.monotonically_increasing_id()).alias("nid"), "node", "first.doc_id", "first.th", "bands", "sketch")  # a hash of one number is never shared
+    return signed, stage(numbered, "nd-nodes")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that their sketches don't rule out."""
+    x, y = (nodes.select(F.col("nid").alias(n), F.col("sketch").alias("s" + n)) for n in ("a", "b"))
+    return pairs.join(x, "a").join(y, "b").where(likely("sa", "sb", threshold)).select("a", "b")
+
+
+def _across(held: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """All likely (a, b) in one bucket but in two classes, for ``held`` of (key, n, nid, component).
+
+    A bucket is cut into pieces by hash; each pair of pieces is a group of its own, so a
+    group compares ``PIECE`` nodes with as many, however large its bucket is.
+    """
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    rows = held.join(nodes.select("nid", "sketch"), "nid").withColumn("p", F.pmod(F.xxhash64("nid"), pieces).cast("int"))
+    left = rows.select("key", F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), pieces - 1)).alias("j"), F.col("nid").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("i"), F.col("p").alias("j"), F.col("nid").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sy"))
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
+    found = left.join(right, ["key", "i", "j"]).where(apart & likely("sx", "sy", threshold))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    signed, nodes = _signed(docs, id_col, text_col)
+    member = nodes.select(F.explode("bands").alias("key"), "nid")
+    heads = stage(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("centre")).where("n > 1"), "nd-buckets")
+    placed = stage(member.join(heads, "key").select("key", "n", "nid", "centre"), "nd-placed")
+    discard(heads)
+    stars = placed.where("nid <> centre").select(F.least("nid", "centre").alias("a"), F.greatest("nid", "centre").alias("b")).distinct()
+    pairs = stage(_likely(stars, nodes, threshold), "nd-pairs")
+
+    def shingles(of: DataFrame) -> DataFrame:
+        paired = of.select(F.col("a").alias("nid")).union(of.select("b")).distinct().join(nodes.select("nid", "node", "doc_id", "th"), "nid")
+        paired = stage(paired, "nd-paired")
+        out = stage(_of_nodes(docs, paired, id_col, text_col), "nd-shingles")
+        discard(paired)
+        return out
+
+    shingled = shingles(pairs)
     links = stage(verified(pairs, shingled, threshold), "nd-links")
+    discard(shingled)
     found = connected_components(links)
 
-    large = placed.where(F.col("n") > SMALL).select("key", "node")
-    labelled = stage(large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "nd-large")
-    split = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    own = F.array_distinct("hashes")
-    sketch = shingled.select("node", F.slice(F.sort_array(own), 1, SKETCH).alias("sketch"), (F.size(own) <= SKETCH).alias("whole"), (F.size(own) == F.size("hashes")).alias("unit"), F.size("hashes").alias("found"))
-    rest = stage(labelled.join(split, "key", "left_semi").join(nodes.select("node", "bands"), "node").join(sketch, "node"), "nd-split")
-    if not rest.isEmpty():
-        one, two = rest.alias("x"), rest.alias("y")
-        across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (F.size(F.array_intersect("x.bands", "y.bands")) > 1) & _likely(threshold)
-        more = one.join(two, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "nd-more")
-        if not more.isEmpty():
-            found = connected_components(links.union(stage(verified(more, shingled, threshold), "nd-links")))
-
-    named = signed.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class_node"))
-    named = stage(named, "nd-named")
-    least = named.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "class_node").select("doc_id", "node", "class_node", "class_id")
+    several = placed.where("n > 2").select("key", "n", "nid").join(found, placed["nid"] == found["node"], "left")
+    several = stage(several.select("key", "n", "nid", F.coalesce("component", "nid").alias("component")), "nd-several")
+    discard(placed)
+    split = several.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    held = stage(several.join(split, "key", "left_semi"), "nd-split")
+    discard(several)
+    more = stage(_across(held, nodes, threshold).join(pairs, ["a", "b"], "left_anti"), "nd-more")
+    discard(held, pairs)
+    if not more.isEmpty():
+        shingled = shingles(more)
+        extra = stage(verified(more, shingled, threshold), "nd-links")
+        discard(shingled)
+        if not extra.isEmpty():
+            found = connected_components(links.union(extra))
+        discard(extra)
+    discard(links, more)
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    grouped = nodes.select("nid", "node", "doc_id").join(found.withColumnRenamed("node", "nid"), "nid", "left")
+    grouped = stage(grouped.select("node", "doc_id", F.coalesce("component", "nid").alias("class_node")), "nd-grouped")
+    discard(nodes)
+    least = grouped.groupBy("class_node").agg(F.min(place)["doc_id"].alias("class_id"))
+    of_node = grouped.join(least, "class_node").select("node", "class_node", "class_id")
+    out = stage(signed.select("doc_id", "th", "node").join(of_node, "node").select("doc_id", "th", "class_node", "class_id"), "nd-classes")
+    discard(signed, grouped)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,9 +405,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, id_col: str
 
 
 def one_of_each(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each class one row with the smallest id, all columns kept."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    kept = stage(classes(docs, threshold, id_col, text_col).groupBy("class_node").agg(F.min(place).alias("k")).select(F.col("k.node").alias("_node"), F.col("k.doc_id").alias("_id")), "nd-kept")
-    named = docs.withColumn("_node", F.unhex(F.md5(F.array_join(words_of(text_of(text_col)), " "))))
-    same = named.join(kept, "_node").where(F.col(id_col).eqNullSafe(F.col("_id")))
-    return same.dropDuplicates(["_node"]).select(*docs.columns)
+    """The rows of ``docs`` without near-duplicates: of each class one row with the smallest id, all columns kept.
+
+    A row is found again by its id and the hash of its text, so copies of one text go to
+    as many tasks as they have ids. Columns may have any names.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = classes(docs, threshold, id_col, text_col).groupBy("class_node").agg(F.min(place).alias("k"))
+    kept = stage(best.select(F.xxhash64("k.doc_id").alias("ih"), F.col("k.doc_id").alias("id"), F.col("k.th").alias("th")), "nd-kept")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = whole.select(F.xxhash64(F.col("row")[id_col]).alias("ih"), F.xxhash64(F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))).alias("th"), "row")
+    same = rows.join(kept, ["ih", "th"]).where(F.col("row")[id_col].eqNullSafe(F.col("id")))
+    return same.dropDuplicates(["ih", "th"]).select("row.*")
