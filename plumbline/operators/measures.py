@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import contains_text, number, same_diameter, same_name
 
-#: Attributes that describe an item of a bill of materials, the first one present counts.
+#: Parts of layer names that mark conductors; attributes that describe an item of a bill of materials, the first one present counts.
+CONDUCTORS = ("WIRE", "BUS", "NET", "CONDUCTOR", "CABLE_RUN")
 SPEC_KEYS = ["RATING_A", "SIZE_SQMM", "VALUE_OHM", "VALUE_UF", "LOAD_W", "PART"]
 
 
@@ -43,14 +44,42 @@ def blocks(entities: DataFrame) -> DataFrame:
     return inserts.groupBy("drawing_id", "block").agg(F.count(F.lit(1)).alias("n"), names.alias("attributes"))
 
 
+def domains(entities: DataFrame) -> DataFrame:
+    """drawing_id, domain: what kind of drawing it is, by layers, blocks and circles."""
+    layer = F.upper("layer")
+    seen = entities.groupBy("drawing_id").agg(
+        F.bool_or((F.col("type") == "INSERT") & (F.size(F.coalesce("attribs", F.create_map().cast("map<string,string>"))) > 0)).alias("tagged"),
+        F.bool_or(layer.rlike("|".join(CONDUCTORS))).alias("wired"),
+        F.bool_or(layer == "ROOMS").alias("rooms"),
+        F.bool_or(layer == "WALLS").alias("walls"),
+        F.bool_or(F.coalesce("closed", F.lit(False))).alias("shut"),
+        F.bool_or(layer == "HOLES").alias("holes"),
+        F.count_if(F.col("type") == "CIRCLE").alias("circles"),
+    )
+    domain = (
+        F.when(F.col("tagged") & F.col("wired"), "electrical/electronic schematic")
+        .when(F.col("rooms") | (F.col("walls") & F.col("shut")), "building floor plan")
+        .when(F.col("holes") | (F.col("circles") >= 3), "mechanical part")
+        .otherwise("general drawing")
+    )
+    return seen.select("drawing_id", domain.alias("domain"))
+
+
+def texts(entities: DataFrame) -> DataFrame:
+    """drawing_id and its texts that are not blank, in file order."""
+    said = entities.where(F.trim(F.regexp_replace("text", r"\s", " ")) != "").groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("t"))
+    return said.select("drawing_id", F.transform("t", lambda x: x["text"]).alias("texts"))
+
+
 def summary(entities: DataFrame, sheets: DataFrame) -> DataFrame:
-    """One row per drawing: units, extents, and counts by layer, type and block, the most frequent first."""
+    """One row per drawing: units, extents, domain, entities, texts, and counts by layer, type and block, the most frequent first."""
     def counted(key: str, rows: DataFrame) -> DataFrame:
         each = rows.groupBy("drawing_id", key).agg(F.count(F.lit(1)).alias("n"))
         ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("r"), F.col(key).alias("name"))))
         return each.groupBy("drawing_id").agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), (-x["r"]).alias("n"))).alias(f"by_{key}"))
 
-    out = sheets.select("drawing_id", "units", "extents", "warnings")
+    size = entities.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    out = sheets.select("drawing_id", "units", "extents", "warnings").join(size, "drawing_id", "left").join(domains(entities), "drawing_id", "left").join(texts(entities), "drawing_id", "left")
     for key, rows in (("layer", entities), ("type", entities), ("block", entities.where("type = 'INSERT'"))):
         out = out.join(counted(key, rows), "drawing_id", "left")
     return out

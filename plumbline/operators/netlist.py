@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import number
 from plumbline.graph import connected_components
-from plumbline.operators.spatial import cells, segments, touching
+from plumbline.operators.measures import CONDUCTORS
+from plumbline.operators.spatial import points_in_boxes, segments, touching
 from plumbline.staging import stage
 
-#: Parts of layer names that mark conductors, attribute tags in order of precedence, and block names of supplies.
-CONDUCTORS = ("WIRE", "BUS", "NET", "CONDUCTOR", "CABLE_RUN")
+#: Attribute tags in order of precedence, and block names of supplies.
 TAGS = ("TAG", "REF", "REFDES", "NAME", "ID")
 SOURCES = ("SUPPLY", "SOURCE", "MAINS", "INCOMER", "UTILITY", "GRID")
 
@@ -47,12 +47,21 @@ def attachments(entities: DataFrame, sheets: DataFrame, parts: DataFrame) -> Dat
     joined = connected_components(touching(wires, sizes).select(node("a").alias("a"), node("b").alias("b")))
     named = wires.withColumn("me", node("segment")).join(joined, F.col("me") == F.col("node"), "left").withColumn("net", F.coalesce("component", "me")["n"])
     ends = named.join(sizes, "drawing_id").select("drawing_id", "net", "cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
-    dealt = ends.withColumn("_c", F.struct(F.floor(F.col("p.x") / F.col("cell")).cast("long").alias("x"), F.floor(F.col("p.y") / F.col("cell")).cast("long").alias("y")))
-    boxed = parts.join(sizes, "drawing_id")
-    t = F.col("tol")
-    spread = boxed.withColumn("_d", cells(F.col("x_min") - t, F.col("y_min") - t, F.col("x_max") + t, F.col("y_max") + t, F.col("cell"))).select(F.col("drawing_id").alias("_g"), "tag", "x_min", "y_min", "x_max", "y_max", "tol", "_d")
-    inside = F.col("p.x").between(F.col("x_min") - t, F.col("x_max") + t) & F.col("p.y").between(F.col("y_min") - t, F.col("y_max") + t)
-    return dealt.join(spread, (F.col("drawing_id") == F.col("_g")) & (F.col("_c") == F.col("_d")) & inside).select("drawing_id", "net", "tag").distinct()
+    ends = ends.select("drawing_id", "net", "cell", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    boxed = parts.join(sizes.withColumnRenamed("cell", "_size"), "drawing_id").select("drawing_id", "tag", "x_min", "y_min", "x_max", "y_max", "tol", "_size")
+    return points_in_boxes(ends, boxed, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size")).select("drawing_id", "net", "tag").distinct()
+
+
+def nets(attached: DataFrame) -> DataFrame:
+    """drawing_id, net and its sorted members, for nets of two or more."""
+    return attached.groupBy("drawing_id", "net").agg(F.array_sort(F.collect_set("tag")).alias("members")).where(F.size("members") > 1)
+
+
+def find(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """drawing_id, word, tag: the component that each word of (drawing_id, word) names, exactly or else without case and blanks; of several the last."""
+    known = parts.select("drawing_id", "tag", "ordinal", F.upper(F.trim("tag")).alias("_up"))
+    hits = wanted.join(known, "drawing_id").where(F.upper(F.trim("word")) == F.col("_up"))
+    return hits.groupBy("drawing_id", "word").agg(F.min_by("tag", F.struct((F.col("word") != F.col("tag")).alias("other"), (-F.col("ordinal")).alias("o"))).alias("tag"))
 
 
 def adjacency(attached: DataFrame) -> DataFrame:
@@ -76,9 +85,9 @@ def distances(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFr
         reached = front.join(edges, (front["drawing_id"] == edges["drawing_id"]) & (front["tag"] == edges["a"])).select(edges["drawing_id"], F.col("b").alias("tag")).distinct()
         front = stage(reached.join(seen.select("drawing_id", "tag"), ["drawing_id", "tag"], "left_anti").withColumn("dist", F.lit(hop)), "bfs")
         if front.isEmpty():
-            break
+            return seen
         seen = stage(seen.unionByName(front), "bfs")
-    return seen
+    raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
 def downstream(edges: DataFrame, dist: DataFrame, most: int = 10_000) -> DataFrame:
@@ -92,12 +101,12 @@ def downstream(edges: DataFrame, dist: DataFrame, most: int = 10_000) -> DataFra
         if front.isEmpty():
             return seen
         seen = stage(seen.union(front), "down")
-    return seen
+    raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
 def downstream_summary(parts: DataFrame, below: DataFrame, component_type: str = "MCB", attribute: str = "LOAD_W") -> DataFrame:
     """One row per component of a type: its attributes, counts by type of what it feeds, their total, and cable, RCD and RCBO attributes."""
-    roots = parts.where(F.upper("type") == component_type.upper()).select("drawing_id", F.col("tag").alias("root"), F.col("attribs").alias("own"))
+    roots = parts.where(F.upper("type") == component_type.upper()).select("drawing_id", F.col("tag").alias("root"), "ordinal", F.col("attribs").alias("own"))
     fed = below.join(parts.select("drawing_id", "tag", "ordinal", "type", "attribs"), ["drawing_id", "tag"])
     value = F.coalesce(number(F.col("attribs")[attribute.upper()]), F.lit(0.0))
     kinds = fed.groupBy("drawing_id", "root", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
@@ -105,17 +114,46 @@ def downstream_summary(parts: DataFrame, below: DataFrame, component_type: str =
     last = [F.max_by(F.when(F.upper("type") == k, F.col("attribs")), F.when(F.upper("type") == k, F.col("ordinal"))).alias(k.lower()) for k in ("CABLE", "RCD", "RCBO")]
     extra = fed.groupBy("drawing_id", "root").agg(*last)
     out = roots.join(feeds, ["drawing_id", "root"], "left").join(extra, ["drawing_id", "root"], "left")
-    return out.select("drawing_id", F.col("root").alias("tag"), "own", "feeds", F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"), "cable", "rcd", "rcbo")
+    return out.select("drawing_id", F.col("root").alias("tag"), "ordinal", "own", "feeds", F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"), "cable", "rcd", "rcbo")
+
 
+def paths(edges: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
+    """(drawing_id, a, b, path, hops): the shortest way of each (drawing_id, a, b), of equal ones the smallest in order of tags.
 
-def path_between(edges: DataFrame, a: str, b: str, most: int = 1000) -> DataFrame:
-    """(drawing_id, path, hops): the shortest way from a to b, of equal ones the smallest in order of tags; no row if there is none."""
-    seen = front = stage(edges.select("drawing_id").distinct().select("drawing_id", F.lit(a).alias("tag"), F.array(F.lit(a)).alias("path")), "path")
+    Pairs without a way are absent; a way from a component to itself has no hops. All
+    pairs of one start share its search.
+    """
+    starts = wanted.select("drawing_id", F.col("a").alias("start")).distinct()
+    seen = front = stage(starts.select("drawing_id", "start", F.col("start").alias("tag"), F.array("start").alias("path")), "path")
     for _ in range(most):
-        step = front.join(edges, (front["drawing_id"] == edges["drawing_id"]) & (front["tag"] == edges["a"])).select(front["drawing_id"], F.col("b").alias("tag"), F.concat("path", F.array("b")).alias("path"))
-        best = step.groupBy("drawing_id", "tag").agg(F.min("path").alias("path"))
-        front = stage(best.join(seen.select("drawing_id", "tag"), ["drawing_id", "tag"], "left_anti"), "path")
+        step = front.join(edges, (front["drawing_id"] == edges["drawing_id"]) & (front["tag"] == edges["a"])).select(front["drawing_id"], "start", F.col("b").alias("tag"), F.concat("path", F.array("b")).alias("path"))
+        best = step.groupBy("drawing_id", "start", "tag").agg(F.min("path").alias("path"))
+        front = stage(best.join(seen.select("drawing_id", "start", "tag"), ["drawing_id", "start", "tag"], "left_anti"), "path")
         if front.isEmpty():
-            break
+            found = seen.select("drawing_id", F.col("start").alias("a"), F.col("tag").alias("b"), "path")
+            return wanted.join(found, ["drawing_id", "a", "b"]).select("drawing_id", "a", "b", "path", (F.size("path") - 1).alias("hops"))
         seen = stage(seen.unionByName(front), "path")
-    return seen.where(F.col("tag") == b).select("drawing_id", "path", (F.size("path") - 1).alias("hops"))
+    raise RuntimeError(f"the frontier is not empty after {most} hops")
+
+
+def path_between(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(drawing_id, path, hops): the way from a to b in every drawing that has one."""
+    wanted = edges.where(F.col("a") == a).select("drawing_id", F.lit(a).alias("a"), F.lit(b).alias("b")).distinct()
+    return paths(edges, wanted).select("drawing_id", "path", "hops")
+
+
+def highest_load(circuits: DataFrame) -> DataFrame:
+    """drawing_id, tag, total: the circuit of ``downstream_summary`` with the highest total, of equal ones the first in file order."""
+    place = F.struct((-F.col("total")).alias("t"), "ordinal")
+    return circuits.groupBy("drawing_id").agg(F.min_by("tag", place).alias("tag"), F.max("total").alias("total"))
+
+
+def glance(circuits: DataFrame) -> DataFrame:
+    """drawing_id, circuits, load_kw, protected (circuits behind an RCD): a board at a glance."""
+    return circuits.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("circuits"), F.round(F.sum("total") / 1000, 1).alias("load_kw"), F.count("rcd").alias("protected"))
+
+
+def load_shares(circuits: DataFrame) -> DataFrame:
+    """drawing_id, tag, total and its percentage of the board's highest, 0 where that is 0."""
+    most = circuits.groupBy("drawing_id").agg(F.max("total").alias("most"))
+    return circuits.join(most, "drawing_id").select("drawing_id", "tag", "total", F.round(F.when(F.col("most") > 0, 100 * F.col("total") / F.col("most")).otherwise(0.0), 3).alias("share"))

@@ -14,15 +14,19 @@ def cells(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: Column)
     return F.explode(F.flatten(F.transform(span(lo_x, hi_x), lambda x: F.transform(span(lo_y, hi_y), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float | Column, group: str = "drawing_id", pad: Column | None = None) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float | Column, group: str = "drawing_id", pad: Column | None = None, box_cell: Column | None = None) -> DataFrame:
     """Pairs of a point (px, py) and a box (x_min, y_min, x_max, y_max) of the same group whose padded, closed box holds it.
 
-    A point lies in one cell and a box in all that it touches, so a pair meets at most once.
+    A point lies in one cell and a box in all that it touches, so a pair meets at most
+    once. The grid's ``cell`` may be a column of both sides, ``box_cell`` if it has another
+    name in ``boxes``; ``pad`` is a column of ``boxes``. Cells should be of a size with the
+    boxes, as a box is sent to each cell that it touches.
     """
     cell = cell if isinstance(cell, Column) else F.lit(float(cell))
+    wide = cell if box_cell is None else box_cell
     pad = F.lit(0.0) if pad is None else pad
     left = points.withColumn("_c", F.struct(F.floor(F.col("px") / cell).cast("long").alias("x"), F.floor(F.col("py") / cell).cast("long").alias("y")))
-    right = boxes.withColumnRenamed(group, "_g").withColumn("_d", cells(F.col("x_min") - pad, F.col("y_min") - pad, F.col("x_max") + pad, F.col("y_max") + pad, cell))
+    right = boxes.withColumnRenamed(group, "_g").withColumn("_d", cells(F.col("x_min") - pad, F.col("y_min") - pad, F.col("x_max") + pad, F.col("y_max") + pad, wide))
     inside = F.col("px").between(F.col("x_min") - pad, F.col("x_max") + pad) & F.col("py").between(F.col("y_min") - pad, F.col("y_max") + pad)
     return left.join(right, (left[group] == right["_g"]) & (F.col("_c") == F.col("_d")) & inside).drop("_g", "_c", "_d")
 
@@ -35,24 +39,11 @@ def closed_polygons(entities: DataFrame, layer: str | None = None) -> DataFrame:
     return polygons.select("drawing_id", F.col("ordinal").alias("region"), F.col("layer").alias("region_layer"), "area", "x_min", "y_min", "x_max", "y_max", "vertices")
 
 
-def cell_size(entities: DataFrame) -> Column:
-    """A cell for coordinates of any scale: a 32nd of the drawing's larger extent is kept in column ``cell``."""
-    return F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), F.lit(1.0)) / 32
-
-
 def with_cell(frame: DataFrame, sheets: DataFrame) -> DataFrame:
     size = sheets.select("drawing_id", (F.greatest(F.col("extents.x_max") - F.col("extents.x_min"), F.col("extents.y_max") - F.col("extents.y_min"), F.lit(1.0)) / 32).alias("cell"))
     return frame.join(size, "drawing_id")
 
 
-def region_labels(entities: DataFrame, sheets: DataFrame, layer: str | None = None) -> DataFrame:
-    """Closed polygons with ``label``: the texts inside, joined by `` / `` in file order, null if none."""
-    polygons = closed_polygons(entities, layer)
-    texts = entities.where(F.col("type").isin("TEXT", "MTEXT") & F.col("cx").isNotNull()).select("drawing_id", "ordinal", "text", F.col("cx").alias("px"), F.col("cy").alias("py"))
-    pairs = points_in_boxes(with_cell(texts, sheets), with_cell(polygons, sheets).drop("cell"), F.col("cell"))
-    return polygons, pairs.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices")))
-
-
 def labeled_regions(entities: DataFrame, sheets: DataFrame, layer: str | None = None, label_contains: str | None = None) -> DataFrame:
     """Every closed polyline with its label, width, height, min_side, area and area_m2."""
     joined = _labelled(entities, sheets, layer)
@@ -76,11 +67,8 @@ def _labelled(entities: DataFrame, sheets: DataFrame, layer: str | None = None)
 
 def _in_polygons(points: DataFrame, polygons: DataFrame, sheets: DataFrame) -> DataFrame:
     """Pairs of points and polygons that hold them."""
-    sized = with_cell(polygons, sheets)
-    spread = sized.withColumn("_d", cells(F.col("x_min"), F.col("y_min"), F.col("x_max"), F.col("y_max"), F.col("cell"))).withColumnRenamed("drawing_id", "_g").drop("cell")
-    dealt = with_cell(points, sheets).withColumn("_c", F.struct(F.floor(F.col("px") / F.col("cell")).cast("long").alias("x"), F.floor(F.col("py") / F.col("cell")).cast("long").alias("y")))
-    near = dealt.join(spread, (dealt["drawing_id"] == spread["_g"]) & (F.col("_c") == F.col("_d")))
-    return near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices"))).drop("_g", "_c", "_d", "cell")
+    near = points_in_boxes(with_cell(points, sheets), with_cell(polygons, sheets).withColumnRenamed("cell", "_size"), F.col("cell"), box_cell=F.col("_size"))
+    return near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices"))).drop("_size", "cell")
 
 
 def block_inserts(entities: DataFrame, sheets: DataFrame, block_name: str | None = None, layer: str | None = None) -> DataFrame:
@@ -110,10 +98,8 @@ def count_per_region(entities: DataFrame, sheets: DataFrame, layer: str, region_
     sizes = sheets.select("drawing_id", tol.alias("tol"), (extent / 32).alias("cell"))
     regions = _labelled(entities, sheets, region_layer)
     items = entities.where((F.upper("layer") == layer.strip().upper()) & F.col("cx").isNotNull()).select("drawing_id", F.col("ordinal").alias("item"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(sizes, "drawing_id")
-    boxed = regions.join(sizes, "drawing_id")
-    spread = boxed.withColumn("_d", cells(F.col("x_min") - F.col("tol"), F.col("y_min") - F.col("tol"), F.col("x_max") + F.col("tol"), F.col("y_max") + F.col("tol"), F.col("cell"))).select(F.col("drawing_id").alias("_g"), "region", "vertices", "_d")
-    dealt = items.withColumn("_c", F.struct(F.floor(F.col("px") / F.col("cell")).cast("long").alias("x"), F.floor(F.col("py") / F.col("cell")).cast("long").alias("y")))
-    near = dealt.join(spread, (dealt["drawing_id"] == spread["_g"]) & (F.col("_c") == F.col("_d")))
+    boxed = regions.join(sizes.withColumnRenamed("cell", "_size"), "drawing_id").select("drawing_id", "region", "vertices", "x_min", "y_min", "x_max", "y_max", "tol", "_size")
+    near = points_in_boxes(items.drop("tol"), boxed, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size"))
     hits = near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices")) | near_boundary(F.col("px"), F.col("py"), F.col("vertices"), F.col("tol")))
     counts = hits.groupBy("drawing_id", "region").agg(F.count(F.lit(1)).alias("n"))
     return regions.join(counts, ["drawing_id", "region"], "left").select("drawing_id", "region", "label", F.coalesce("n", F.lit(0)).alias("count"))
@@ -132,11 +118,9 @@ def segments(entities: DataFrame, layers: Column) -> DataFrame:
 def touching(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     """(drawing_id, a, b), a < b: segments of which an end of one lies on the other within ``tol``. ``sizes`` has drawing_id, tol and cell."""
     sized = parts.join(sizes, "drawing_id")
-    ends = sized.select("drawing_id", F.col("segment").alias("e"), F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"), "cell", "tol")
-    dealt = ends.select("drawing_id", "e", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "tol", F.struct(F.floor(F.col("p.x") / F.col("cell")).cast("long").alias("x"), F.floor(F.col("p.y") / F.col("cell")).cast("long").alias("y")).alias("_c"))
-    lo_x, hi_x = F.least("ax", "bx") - F.col("tol"), F.greatest("ax", "bx") + F.col("tol")
-    lo_y, hi_y = F.least("ay", "by") - F.col("tol"), F.greatest("ay", "by") + F.col("tol")
-    spread = sized.withColumn("_d", cells(lo_x, lo_y, hi_x, hi_y, F.col("cell"))).select(F.col("drawing_id").alias("_g"), "segment", "ax", "ay", "bx", "by", "_d")
-    near = dealt.join(spread, (dealt["drawing_id"] == spread["_g"]) & (F.col("_c") == F.col("_d")) & (F.col("e") != F.col("segment")))
+    both = F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
+    ends = sized.select("drawing_id", F.col("segment").alias("e"), both.alias("p"), "cell").select("drawing_id", "e", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "cell")
+    boxes = sized.select("drawing_id", "segment", "ax", "ay", "bx", "by", "tol", F.least("ax", "bx").alias("x_min"), F.least("ay", "by").alias("y_min"), F.greatest("ax", "bx").alias("x_max"), F.greatest("ay", "by").alias("y_max"), F.col("cell").alias("_size"))
+    near = points_in_boxes(ends, boxes, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size")).where("e <> segment")
     hits = near.where(distance_to_segment(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("tol"))
     return hits.select("drawing_id", F.least("e", "segment").alias("a"), F.greatest("e", "segment").alias("b")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from plumbline.staging import stage
+
 ROWS_PER_CELL = 20_000
 MIN_CELLS = 256
 
@@ -37,3 +39,18 @@ def number_within(df: DataFrame, group: list[str], spread: Column, order: list[C
     return placed.join(offsets, same).withColumn(out, F.col("_offset") + F.col("_place")).drop(
         "_cell", "_place", "_offset", *[f"_o_{i}" for i in range(len(names))]
     )
+
+
+def number_in_order(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: a gapless number from 0 by ``order`` within each group, which all columns of ``order`` tell apart.
+
+    Rows are dealt by range, numbered in each range, and shifted by the counts of the
+    ranges before; a group may fill any number of tasks.
+    """
+    names = [*group, *order]
+    dealt = stage(df.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(offsets, [*group, "_part"]).withColumn(out, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
