@@ -11,6 +11,7 @@ Pieces then find their slot by their number among the pieces of equal length.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -52,14 +53,18 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer never joins characters across white space, so a
     text's ids are those of its words one after the other, and each distinct word need
-    be encoded only once. Strings of special tokens count as ordinary text.
+    be encoded only once. Strings of special tokens stand for their ids wherever they are
+    in a text, as the whole tokenizer has it; what is around them is split on its own.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        special = {x.content: i for i, x in self.whole.get_added_tokens_decoder().items()}
+        self.special = {x: np.array([i], "<u4").tobytes() for x, i in special.items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.whole.encode_special_tokens = True  # words hold none of them, unless lower case makes one
         self.model = self.whole.model
         self.cache = _Words(self._encode, cache_words)
         #: The printable characters that byte-level vocabularies use for bytes.
@@ -90,14 +95,21 @@ class WordTokenizer:
                 end += 1
             part = text[start:end]
             start = end
-            try:
-                part.encode("latin-1")
-                part = part.lower()
-            except UnicodeEncodeError:
-                pass
-            plain = not any(c in part for c in "\x1c\x1d\x1e\x1f")  # str.split() takes them for white space, the vocabulary doesn't
-            words = part.split() if plain else [w for w in part.replace("\n", " ").split(" ") if w]
-            yield b"".join(map(self.cache.__getitem__, words))
+            if self.between is not None and any(x in part for x in self.special):
+                for piece in self.between.split(part):
+                    yield self.special[piece] if piece in self.special else self._plain(piece)
+            else:
+                yield self._plain(part)
+
+    def _plain(self, part: str) -> bytes:
+        try:
+            part.encode("latin-1")
+            part = part.lower()
+        except UnicodeEncodeError:
+            pass
+        plain = not any(c in part for c in "\x1c\x1d\x1e\x1f")  # str.split() takes them for white space, the vocabulary doesn't
+        words = part.split() if plain else [w for w in part.replace("\n", " ").split(" ") if w]
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

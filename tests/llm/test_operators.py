@@ -28,14 +28,14 @@ def test_packing_is_exact_and_tight(spark):
 
     path = P.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    rows = packing.pack(packing.tokenize_pieces(documents(spark, ODD), path, keep_ids=True)).collect()
+    odd = [*ODD, "<|endoftext|>", "a<|endoftext|>b <|STARTOFTEXT|> é<|startoftext|>\u0301 <|endoftext", "x " * 3000 + "<|endoftext|><|startoftext|> y" * 900]
+    rows = packing.pack(packing.tokenize_pieces(documents(spark, odd), path, keep_ids=True)).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_sequence[r["sequence_id"]].append(r)
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"]
-    for i, text in enumerate(ODD):
+    for i, text in enumerate(odd):
         pieces = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [x for r in pieces for x in r["ids"]] == whole.encode(text or "", add_special_tokens=False).ids + [0]
         assert all(r["length"] == 2048 for r in pieces[:-1])
