@@ -11,9 +11,11 @@ taken from a source miss its target by at most half of it. All chance comes from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from plumbline.ranking import number_in_order
 from plumbline.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -35,10 +37,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     all sizes; none gets more than ``most`` times its size, and what is over is shared
     again by weight among the others. Each pass caps at least one source or ends.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    known = stage(totals.withColumn("weight", weight.cast("long")), "mix-sources")
+    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n")).withColumn("none", F.col("source").isNull())
+    placed = number_in_order(totals, [], ["none", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    known = stage(placed.select("source", "source_size", "n", weight.cast("long").alias("weight")), "mix-sources")
     whole = share * (known.agg(F.sum("source_size")).first()[0] or 0)
     cap = most * F.col("source_size")
     capped, level = -1, 0.0
@@ -129,17 +131,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _hashable(column: Column, kind: DataType) -> Column:
+    """The column, or its JSON where its type holds something that can't be hashed."""
+    said = kind.simpleString()
+    return F.to_json(F.struct(column.alias("c"))) if "map<" in said or "variant" in said else column
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits that tell a row by all its columns; which of them are null counts too."""
+    parts = [_hashable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
+    parts += [F.col(f"`{f.name}`").isNull() for f in docs.schema.fields]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("again"), *reversed(parts)).alias("b"))
+
+
 def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its columns.
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns, whatever their names.
 
-    Rows that are equal in all columns are taken together and repeated.
+    Rows that are equal in all columns are taken together and repeated. A row is found
+    again by 128 bits of hashes of all its columns.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(*names)).withColumn("_size", word_count(text_col))
-    sized = stage(keyed.select(F.col(source_col).alias("source"), F.struct("_key", "_size").alias("key"), F.col("_size").alias("size")), "mix-sizes")
-    counted = copies(sized, stage(targets(sized), "mix-targets")).groupBy("key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    wanted = counted.select(F.col("key._key").alias("_key"), F.col("key._size").alias("_size"), "_copies")
-    joined = keyed.join(wanted, ["_key", "_size"])
-    first = F.row_number().over(W.partitionBy("_key", "_size").orderBy("_key")) == 1
-    once = joined.withColumn("_first", first).where("_first")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(_row_key(docs).alias("key"), F.col(f"`{source_col}`").alias("source"), word_count(text_col).alias("size"), whole.alias("row"))
+    sized = stage(keyed.select("source", "key", "size"), "mix-sizes")
+    wanted = copies(sized, stage(targets(sized), "mix-targets")).groupBy("key").agg(F.sum("copies").alias("times")).where("times > 0")
+    wanted = stage(wanted.select("key.a", "key.b", "times"), "mix-wanted")
+    once = keyed.select("key.a", "key.b", "row").dropDuplicates(["a", "b"])
+    taken = once.join(wanted, ["a", "b"]).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    return taken.select("row.*")

@@ -6,10 +6,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from plumbline.llm import ann, mixing, neardup, packing, quality, sharding, tokencount, toxicity, urls, warc
 
@@ -126,6 +128,83 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(documents(spark, [None, ""])).count() == 2
 
 
+def _xx(*values):
+    """Spark's xxhash64 of ints (4 bytes) and longs (as tuples of one) in order."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _plain_mix(rows, targets):
+    """The copies of each (id, source, size), pair by pair as the method's definition has it."""
+    taken, blocks = {}, collections.defaultdict(list)
+    count = collections.Counter(s for _, s, _ in rows)
+    total = collections.Counter()
+    for _, s, n in rows:
+        total[s] += n
+    for i, s, n in rows:
+        rate = targets[s] / total[s] if total[s] else 0.0
+        whole = math.floor(rate + 1e-12)
+        mass = max(rate - whole, 0.0) * n
+        taken[i] = whole
+        if n and mass > 0:
+            blocks[s].append([n, _xx((i,), (n,)), i, mass])
+    for s, units in blocks.items():
+        left, level, most = count[s], 0, max(count.values())
+        while True:
+            n = 1 if left <= 2 * mixing.BLOCK else math.ceil(left / mixing.BLOCK)
+            dealt = collections.defaultdict(list)
+            for u in units:
+                dealt[_xx(level, (u[1],)) % n].append(u)
+            units = []
+            for block in dealt.values():
+                block.sort(key=lambda u: u[:3], reverse=True)
+                rest = block[0]
+                for u in block[1:]:
+                    give, take = min(rest[3], u[0] - u[3]), min(u[3], rest[0] - rest[3])
+                    chance = (_xx(mixing.SEED, (rest[1],), (u[1],)) % (1 << 52)) / (1 << 52)
+                    if chance * (give + take) < take:
+                        done = give == rest[3]
+                        u[3], rest[3] = (u[3] + give, 0.0) if done else (float(u[0]), rest[3] - give)
+                    else:
+                        done = take != u[3]
+                        rest[3], u[3] = (float(rest[0]), u[3] - take) if done else (rest[3] + take, 0.0)
+                    settled, rest = (rest, u) if done else (u, rest)
+                    taken[settled[2]] += 2 * settled[3] > settled[0]
+                units.append(rest)
+            left = n
+            if most <= 2 * mixing.BLOCK:
+                break
+            most, level = math.ceil(most / mixing.BLOCK), level + 1
+        for u in units:
+            taken[u[2]] += 2 * u[3] > u[0]
+    return taken
+
+
+def test_mixing_equals_pairing_one_by_one(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["w"] * rng.randint(0, 60)) for _ in range(700)]
+    docs = documents(spark, texts)
+    rows = [(r["doc_id"], r["source"], len(r["text"].split())) for r in docs.collect()]
+    sized = docs.select("source", mixing.word_count().alias("size"))
+    targets = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
+    want, sizes = _plain_mix(rows, targets), {i: n for i, _, n in rows}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == {i: want[i] * sizes[i] for i in want}
+
+
+def test_mixed_documents_keep_odd_columns(spark):
+    schema = "doc_id long, text string, source string, _key string, key string, row string, copies long, `a.b` int, size map<string,int>"
+    rows = [(i % 40, "w " * (i % 40 % 9 + 1), "s", f"orig{i % 40}", "k", None, 3, i % 2, {"x": i % 40}) for i in range(80)] + [(None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    originals = {str(r) for r in docs.collect()}
+    assert got.count() > 80 and all(str(r) in originals for r in got.collect())
+    swapped = spark.createDataFrame([("a b", None, "s"), (None, "a b", "s")], "text string, lang string, source string")
+    assert {(r["text"], r["lang"]) for r in mixing.mixed_documents(swapped).collect()} >= {("a b", None)}
+
+
 def test_targets_are_capped_and_shared_again(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), (None, 90)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
