@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import ann, mixing, neardup, packing, quality, sharding, tokencount, toxicity, urls, warc
 
@@ -106,6 +107,17 @@ def test_quality_measures_and_cascade(spark):
     assert [r.name for r in order] == ["quick", "slow", "idle"]
 
 
+def test_quality_costs_are_those_of_the_rules(spark):
+    docs = documents(spark, ["some words of a text, told again and again " * 60] * 3000)
+    sample = quality.sample_of(docs)
+    assert 1500 < sample.count() < 2500
+    dear = quality.Rule("dear", quality.n_repeat_words(quality.text_of()) > 0)
+    cheap = quality.Rule("cheap", F.length(quality.text_of()) > 0)
+    found = {p.rule.name: p for p in quality.profile_rules(sample, [dear, cheap])}
+    assert found["dear"].rejected == found["cheap"].rejected == 1.0 and found["dear"].seconds > 3 * found["cheap"].seconds
+    assert [r.name for r in quality.by_worth(list(found.values()))] == ["cheap", "dear"]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randint(0, 40)) for _ in range(900)]
