@@ -4,8 +4,9 @@ Unit vectors are projected on random directions; each direction's values are hel
 sorted array. A query's window on an array is centred at its own projection. Windows of
 all directions widen together (virtual rehashing: no bucket is ever rebuilt), and a vector
 that falls in more than a set share of the windows is verified with its exact cosine. A
-query is done when the k-th best verified id other than its own is nearer than the windows
-reach; of an id found on several rows the best one counts.
+query is done when the k-th best id other than its own, verified here or in a sample of
+all vectors before, is nearer than the windows reach; of an id found on several rows the
+best one counts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 from plumbline.staging import stage
 
 K = 5
-PROJECTIONS, SHARE = 64, 0.5
-#: Half widths of the windows: the first, and the factor of each widening. Unit vectors are at most 2 apart.
-FIRST, FACTOR = 0.35, 1.4
-#: A vector at distance d falls in a window of half width h with probability erf(h / (d * sqrt 2)).
-REACH = 1.0
-#: Vectors indexed at a time, and queries searched at a time.
-CHUNK, BLOCK = 1 << 14, 1 << 12
+#: A vector at distance d falls in a window of half width d with probability 0.683. At that width 128
+#: windows hold one at the k-th distance in more than a share of 0.6 with a chance of 0.97, nearer ones more surely.
+PROJECTIONS, SHARE = 128, 0.6
+#: Half widths of the windows: the first where no bound is known, the share of the bound where one is, and the
+#: factor of each widening. Unit vectors are at most 2 apart.
+FIRST, PART, FACTOR = 0.3, 0.5, 1.5
+#: Vectors indexed at a time, bytes of queries searched at a time, and vectors of the sample that bounds the k-th distance.
+CHUNK, BLOCK_BYTES, SAMPLE = 1 << 14, 16 << 20, 4096
 SEED = 5
 
 
@@ -47,29 +49,39 @@ class CollisionIndex:
         values = (vectors / self.norms[:, None]) @ self.directions
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(values, self.order.T, 0).T.copy()
+        self.verified = 0
 
-    def search(self, queries: np.ndarray, ids: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, (rows, cosines) of the k nearest ids found and ties, one row an id. Rows of a query's own id in ``ids`` are left out."""
+    def search(self, queries: np.ndarray, ids: np.ndarray, k: int = K, far: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, (rows, cosines) of the k nearest ids found and ties, one row an id. Rows of a query's own id in ``ids`` are left out.
+
+        ``far`` are distances that each query's k-th nearest is known not to exceed.
+        """
         norms = np.sqrt((queries * queries).sum(1))
         centres = (queries / norms[:, None]) @ self.directions
         found: list[tuple] = [(np.zeros(0, "i8"), np.zeros(0))] * len(queries)
+        far = np.full(len(queries), np.inf) if far is None else far.copy()
+        seen = [np.zeros(0, "i8")] * len(queries)
         todo = np.arange(len(queries))
         m, n = self.order.shape
-        half = FIRST
+        half = np.where(np.isfinite(far), PART * far, FIRST)
         while len(todo):
-            lo = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] - half, "left") for j in range(m)], 1)
-            hi = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] + half, "right") for j in range(m)], 1)
+            width = np.minimum(half[todo], far[todo])  # no wider than what is left to find
+            lo = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] - width, "left") for j in range(m)], 1)
+            hi = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] + width, "right") for j in range(m)], 1)
             again = []
             for t, q in enumerate(todo):
-                whole = half >= 2 * REACH * FACTOR**2
+                whole = not np.isfinite(far[q]) and half[q] > 2.0
                 if whole:
                     rows = np.arange(n)
                 else:
                     hits = np.concatenate([self.order[j, lo[t, j] : hi[t, j]] for j in range(m)])
                     rows = np.flatnonzero(np.bincount(hits, minlength=n) >= SHARE * m)
-                rows = rows[self.names[rows] != ids[q]]
+                rows = np.setdiff1d(rows[self.names[rows] != ids[q]], seen[q], assume_unique=True)
+                self.verified += len(rows)
+                seen[q] = np.concatenate([seen[q], rows])
                 # Summed row by row: a matrix product may round equal vectors apart, and ties then go to any id.
                 cosines = (self.vectors[rows] * queries[q]).sum(1) / (self.norms[rows] * norms[q])
+                rows, cosines = np.concatenate([found[q][0], rows]), np.concatenate([found[q][1], cosines])
                 if self.repeats:
                     order = np.lexsort((-cosines, self.names[rows]))
                     best = order[np.unique(self.names[rows[order]], return_index=True)[1]]
@@ -79,13 +91,31 @@ class CollisionIndex:
                     part = np.flatnonzero(cosines >= cosines[part].min())  # ties at the edge are settled by id later
                     rows, cosines = rows[part], cosines[part]
                 found[q] = (rows, cosines)
-                far = np.sqrt(max(0.0, 2 - 2 * cosines.min())) if len(rows) >= k else np.inf
-                if not whole and far > REACH * half:
+                if len(rows) >= k:
+                    far[q] = min(far[q], np.sqrt(max(0.0, 2 - 2 * cosines.min())))
+                if not whole and width[t] < far[q]:
                     again.append(q)
             todo, half = np.array(again, "i8"), half * FACTOR
         return found
 
 
+def _reach(names: np.ndarray, vectors: np.ndarray, k: int):
+    """Adds the distance of each query's k-th nearest id in a sample, infinite if that has fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+        for batch in batches:
+            far = np.full(batch.num_rows, np.inf)
+            for i, (q, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                x = v.values.to_numpy()
+                cosines = (unit @ (x / np.sqrt((x * x).sum())))[names != q]
+                if len(cosines) >= k:
+                    far[i] = np.sqrt(max(0.0, 2 - 2 * np.partition(cosines, len(cosines) - k)[len(cosines) - k])) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["vec_id", "v", "far"])
+
+    return run
+
+
 def _distinct(names: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows without copies of the same id and vector."""
     keep, seen = np.ones(len(names), bool), set()
@@ -97,13 +127,13 @@ def _distinct(names: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.nd
     return (names, vectors) if keep.all() else (names[keep], vectors[keep])
 
 
-def _search(queries: np.ndarray, ids: np.ndarray, k: int):
+def _search(queries: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
             names, vectors = _distinct(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
             index = CollisionIndex(names, vectors)
             parts = []
-            for q, (rows, cosines) in zip(ids, index.search(queries, ids, k), strict=True):
+            for q, (rows, cosines) in zip(ids, index.search(queries, ids, k, far), strict=True):
                 keep = np.lexsort((names[rows], -cosines))[:k]
                 parts.append((np.full(len(keep), q), names[rows[keep]], cosines[keep]))
             columns = [np.concatenate([p[i] for p in parts]) for i in range(3)]
@@ -131,8 +161,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of
     another id and the same number of components. Rows without an id, and vectors that are
     not ``usable``, take no part; of repeated ids the best scoring row counts. Queries go
-    in blocks of some ``BLOCK``, so that what every task is sent is bounded; each block
-    passes once over all rows. An empty table gives an empty table.
+    in blocks of at most ``BLOCK_BYTES``, so that what every task is sent is bounded; each
+    block passes once over all rows. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -144,13 +174,16 @@ def nearest(vectors: DataFrame, k: int = K, every: int = 50, id_col: str = "vec_
             continue
         same = rows.where(F.col("d") == r["d"]).select("vec_id", "v")
         dealt = stage(same.repartition(max(1, round(r["n"] / CHUNK))), "ann-dealt")
-        blocks = -(-r["q"] // BLOCK)
+        drawn = {x["vec_id"]: x["v"] for x in dealt.sample(fraction=min(1.0, SAMPLE / r["n"]), seed=SEED).limit(2 * SAMPLE).collect()}
+        known = np.array(list(drawn), "i8"), np.array(list(drawn.values()), "f8").reshape(len(drawn), r["d"])
+        blocks = -(-8 * r["d"] * r["q"] // BLOCK_BYTES)
         for b in range(blocks):
-            asked = same.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b))
-            got = {q["vec_id"]: q["v"] for q in asked.groupBy("vec_id").agg(F.min("v").alias("v")).collect()}
+            asked = same.where((F.col("vec_id") % every == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).groupBy("vec_id").agg(F.min("v").alias("v"))
+            reached = asked.mapInArrow(_reach(*known, k), "vec_id long, v array<double>, far double")
+            got = sorted((q["vec_id"], q["v"], q["far"]) for q in reached.collect())
             if got:
-                ids = np.array(sorted(got), "i8")
-                found = dealt.mapInArrow(_search(np.array([got[i] for i in ids], "f8"), ids, k), empty)
+                ids, far = np.array([q[0] for q in got], "i8"), np.array([q[2] for q in got])
+                found = dealt.mapInArrow(_search(np.array([q[1] for q in got], "f8"), ids, far, k), empty)
                 parts.append(stage(found, "ann-found"))
     found = parts[0]
     for part in parts[1:]:
