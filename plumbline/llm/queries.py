@@ -112,6 +112,17 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM m
 """
 
+SQL["op2_warc"] = r"""
+WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM t
+), b AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, 5 * i::INT + 1, 5))::INT >> s) % 32 + 1, 1)), '')), '') AS payload_digest FROM d
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top, row_number() OVER (PARTITION BY hex, page_id) AS again FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top AND again = 1 OR top IS NULL AND again = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top AND again = 1 OR top IS NULL AND again = 1 THEN NULL ELSE top END AS refers_to
+FROM g
+"""
+
 SQL["op10_url_filters"] = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS a FROM pages
@@ -121,8 +132,11 @@ WITH u AS (
 ), l AS (
   SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), h AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
-  FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host
+  SELECT host, CASE WHEN address THEN name ELSE array_to_string(list_slice(string_split(name, '.'), CASE WHEN part THEN -3 ELSE -2 END, -1), '.') END AS domain,
+    CASE WHEN address THEN '' ELSE array_to_string(list_slice(string_split(name, '.'), CASE WHEN part THEN -2 ELSE -1 END, -1), '.') END AS suffix, n, k
+  FROM (SELECT *, regexp_matches(name, '^([0-9.]+|\[.*\])$') AS address, regexp_matches(name, '\.(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$') AS part
+    FROM (SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+      FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host))
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL
 ), moments AS (

@@ -24,6 +24,9 @@ RULES = [
 ]
 #: Standard deviations below the posterior mean, the limit on that bound, and the bounds of a prior's weight in pages.
 BOUND, LIMIT, LEAST_WEIGHT, MOST_WEIGHT = 1.645, 0.5, 1.0, 1000.0
+#: Labels under which countries register domains, and the form of addresses.
+_PARTS = r"\.(ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}$"
+_ADDRESS = r"^([0-9.]+|\[.*\])$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,13 +45,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """A host without user, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+
+
 def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the last two labels of a name, three where the last two only mark a country's part; an address whole."""
+    name = name_of(host)
+    return F.when(name.rlike(_ADDRESS), name).when(name.rlike(_PARTS), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """What domains are registered under: the last label, or the last two of a country's part; empty for addresses."""
+    name = name_of(host)
+    return F.when(name.rlike(_ADDRESS), F.lit("")).when(name.rlike(_PARTS), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def matched(host: Column, path: Column, rules: list[tuple[str, str, str]], out: int | None = None) -> Column:
@@ -99,7 +110,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
 
     ``labels`` has doc_id and quality; a page is bad where the label of its id is 0. Null
     urls and urls without ``://`` have an empty host and path. Repeated rows and null ids
-    are judged like any other; pages without any label nearby get the overall rate.
+    are judged like any other, each row of an id counting once for its host; pages without
+    any label nearby get the overall rate. Pages meet their host's reputation in a join
+    whose large side Spark splits where one host has very many; reputations are one row a host.
     """
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     outcome = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))

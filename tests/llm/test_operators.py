@@ -464,6 +464,12 @@ def test_neighbours_count_ids_not_repeated_rows(spark):
     check(plain + near, {7: more / np.linalg.norm(more, axis=1)[:, None]})
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.y.com:8080": ("y.com", "com"), "me@y.com.": ("y.com", "com"), "10.0.0.1:80": ("10.0.0.1", ""), "com": ("com", "com"), "": ("", ""), "x.co.com": ("co.com", "com")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == hosts
+
+
 def test_url_rules_and_reputation(spark):
     rows = [(0, "https://A.Example.ORG/en/12?x#y"), (1, "http://example.org/es/"), (2, "http://org/"), (3, "http://x.com/de/1"), (4, None), (5, "nothing"), (6, "http://notexample.org/en/1"), (7, "ftp://u.net?q/p"), (8, "http://x.com/fr/")]
     rows += [(100 + i, "http://bad.net/p") for i in range(60)] + [(200 + i, "http://good.net/p") for i in range(60)]
@@ -473,5 +479,8 @@ def test_url_rules_and_reputation(spark):
     assert [got[i]["rule"] for i in (1, 2, 3, 6, 8)] == ["example.org/es/", "org/", "com/de/", "org/", "com/fr/"]
     assert (got[4]["host"], got[5]["path"], got[7]["host"], got[7]["path"]) == ("", "", "u.net", "")
     assert got[159]["verdict"] == "block" and got[259]["verdict"] == "allow"
+    odd = [(None, "http://bad.net/p"), (7, "http://bad.net/p"), (7, "http://bad.net/p"), (8, "http://me@bad.net:80/p")]
+    again = urls.judge(spark.createDataFrame(rows + odd, "page_id long, url string"), spark.createDataFrame(labels + [(None, 0, 0), (100, None, 1)], "doc_id long, quality int, toxic int")).collect()
+    assert len(again) == len(rows) + 4 and {r["verdict"] for r in again if r["host"] == "bad.net"} == {"block"}
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
