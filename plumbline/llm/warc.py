@@ -5,7 +5,8 @@ computed exactly from a histogram, so that they depend on the data alone. A task
 whole shards and rolls to a new file by compressed size; each record is its own gzip
 member with headers and digests made afresh from its payload. A file is written under a
 temporary name and renamed when complete: a task that runs again writes the same bytes
-under the same name. The manifest is written last, and readers open only what it lists.
+under the same name. The manifest is written last, readers open only what it lists, and
+what lost tasks left under temporary names is then deleted.
 """
 
 from __future__ import annotations
@@ -77,9 +78,30 @@ def _store(path: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]:", "s3:", path)
     return fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
 
 
+def _publish(store, temp: str, name: str) -> None:
+    """Give a whole file its name; where another run of the task was first, that one's equal file stays."""
+    try:
+        store.move(temp, name)
+    except OSError:
+        if store.get_file_info(name).is_file:
+            store.delete_file(temp)
+        else:
+            raise
+
+
+def _sweep(store, folder: str) -> None:
+    """Delete what tasks that were lost have left under temporary names."""
+    from pyarrow import fs
+
+    for info in store.get_file_info(fs.FileSelector(folder)):
+        if info.is_file and info.base_name.startswith("_temporary-"):
+            store.delete_file(info.path)
+
+
 class _Roller:
     """Files of one shard, each under a temporary name until it is whole."""
 
@@ -107,7 +129,7 @@ class _Roller:
 
     def close(self) -> tuple:
         self.out.close()
-        self.store.move(self.temp, f"{self.path}/{self.name}")
+        _publish(self.store, self.temp, f"{self.path}/{self.name}")
         self.out, self.seq = None, self.seq + 1
         return self.name, self.shard, self.records, self.size, self.first, self.last, self.sum.hexdigest()
 
@@ -200,8 +222,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             names = ["file", "shard", "records", "bytes", "first_id", "last_id", "sha1"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-    dealt = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "sha", "kind", "url")
+    dealt = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "sha", "kind", "url")
     dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
+    _sweep(store, folder)
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
