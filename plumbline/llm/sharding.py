@@ -5,7 +5,10 @@ of a group are alike, the state of the propagation is a table of (group, shard,
 not of documents. Each round, every group asks to move its members to the shard where
 most of them are and where there is room; requests between two shards are granted as
 swaps as far as they pair up, and beyond that by the room left in the shard they go to.
-Documents without links then fill every shard exactly to its capacity.
+The few groups that are large against a shard are given their shards before, and groups
+that are still apart after the last round are laid end to end over the room that is left,
+which cuts at most one group for each shard. Documents without links then fill every
+shard exactly to its capacity.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from plumbline.ranking import cells_for, number_within
+from plumbline.ranking import ROWS_PER_CELL, cells_for, number_within
 from plumbline.staging import stage
 
 SHARDS = 8
-ROUNDS = 12
+#: Rounds after which propagation stops although some parts still ask to move, and the least number of cells that rows are numbered in.
+ROUNDS, CELLS = 12, 1024
+#: A group of more than this part of all rows is placed before; there are at most as many of them.
+LARGE = 256
 
 
 def _running(df: DataFrame, group: list[str], spread: Column, order: list[Column], weight: str, out: str, cells: int) -> DataFrame:
@@ -53,19 +59,65 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [int(found.get(j) or 0) for j in range(shards)]
 
 
+def place_large(sizes: list[tuple[bytes, int]], room: list[int]) -> list[tuple[bytes, int, int]]:
+    """(hub, shard, n) of groups, the largest first: each in the shard that it fills best, or, where none holds it, all of the widest and the rest again."""
+    left, out = list(room), []
+    queue = sorted(((n, hub) for hub, n in sizes), reverse=True)
+    while queue:
+        n, hub = queue.pop(0)
+        fits = [(r, j) for j, r in enumerate(left) if r >= n]
+        r, j = min(fits) if fits else max((r, -j) for j, r in enumerate(left))
+        j = abs(j)
+        put = min(n, r)
+        left[j] -= put
+        out.append((hub, j, put))
+        if n > put:
+            queue.append((n - put, hub))
+            queue.sort(reverse=True)
+    return out
+
+
+def _refill(state: DataFrame, capacity: list[int], cells: int) -> DataFrame:
+    """Groups that lie in several shards, end to end over the room that all others leave; each end of a shard cuts one group at most."""
+    totals = state.groupBy("hub").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts"))
+    apart = stage(totals.where("parts > 1").select("hub", "members"), "lp-apart")
+    whole = state.join(apart.select("hub"), "hub", "left_anti")
+    room = [max(0, c - x) for c, x in zip(capacity, _loads(whole, len(capacity)), strict=True)]
+    ranges = [(sum(room[:j]), sum(room[: j + 1]), j) for j in range(len(room))]
+    at = F.explode(F.array(*(F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(j).alias("shard")) for lo, hi, j in ranges)))
+    queued = _running(apart, [], F.xxhash64("hub"), [F.col("hub")], "members", "before", cells)
+    spans = queued.select("hub", F.col("before").alias("s"), (F.col("before") + F.col("members")).alias("e"), at.alias("r"))
+    laid = spans.select("hub", F.col("r.shard").alias("shard"), (F.least("e", "r.hi") - F.greatest("s", "r.lo")).cast("long").alias("n")).where("n > 0")
+    return stage(whole.select("hub", "shard", "n").union(laid), "lp-state")
+
+
 def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
     """(hub, shard, n): how many members of each group go to each shard, for ``groups`` of (hub, members).
 
     The sum of members must fit the capacities, and no shard gets more than its own.
     Stops when nothing moves, or after ``rounds`` rounds. Only counts by pairs of shards
-    reach the driver.
+    and at most ``LARGE`` large groups reach the driver.
     """
+    least = max(1, sum(capacity) // LARGE)
+    large = [(bytes(r["hub"]), r["members"]) for r in groups.where(F.col("members") > least).collect()]
+    fixed = place_large(large, capacity)
+    taken = [sum(n for _, j, n in fixed if j == k) for k in range(len(capacity))]
+    rest = [c - x for c, x in zip(capacity, taken, strict=True)]
+    light = groups.where(F.col("members") <= least)
+    state = light.select("hub", F.lit(0).alias("shard"), F.col("members").cast("long").alias("n"))
+    if not light.isEmpty():
+        cells = max(CELLS, cells_for(light.count()))
+        state = _refill(_propagate(light, rest, rounds), rest, cells)
+    return state.union(groups.sparkSession.createDataFrame(fixed, "hub binary, shard int, n long"))
+
+
+def _propagate(groups: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
     shards = len(capacity)
     spread = F.pmod(F.xxhash64("hub"), F.lit(shards))
     start = groups.select("hub", "members", F.explode(F.sequence(F.lit(0), F.least(F.col("members") - 1, F.lit(shards - 1).cast("long")))).alias("k"))
     each = F.floor(F.col("members") / shards) + F.when(F.col("k") < F.col("members") % shards, 1).otherwise(0)
     state = stage(start.select("hub", F.pmod(spread + F.col("k"), F.lit(shards)).cast("int").alias("shard"), each.cast("long").alias("n")), "lp-start")
-    cells = cells_for(groups.count())
+    cells = max(CELLS, cells_for(groups.count()))
     for _ in range(rounds):
         room = [c - x for c, x in zip(capacity, _loads(state, shards), strict=True)]
         free = [j for j, r in enumerate(room) if r > 0]
@@ -141,13 +193,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     groups = stage(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-groups")
     state = propagate(groups, capacity)
     room = [c - x for c, x in zip(capacity, _loads(state, shards), strict=True)]
-    cells = cells_for(total)
+    cells = max(CELLS, cells_for(total))
 
     linked = stage(rows.join(groups.select("hub"), "hub", "left_semi"), "shard-linked")
     before = W.partitionBy("hub").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     runs = state.select(F.col("hub").alias("h"), "shard", F.sum("n").over(before).alias("end"), "n")
     named = number_within(linked, ["hub"], F.xxhash64("doc_id", "size"), [F.col("doc_id")], "k", cells)
-    placed = named.join(runs, (named["hub"] == runs["h"]) & (named["k"] < runs["end"]) & (named["k"] >= runs["end"] - runs["n"]))
+    # the runs of a group, at most one a shard, travel as one row, and in as many copies as its members fill cells of rows
+    ends = runs.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"), F.ceil(F.max("end") / ROWS_PER_CELL).alias("parts"))
+    ends = ends.select("h", "ends", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt_out = named.withColumn("part", F.floor(F.col("k") / ROWS_PER_CELL).cast("long"))
+    place = F.filter("ends", lambda e: F.col("k") < e["end"])[0]["shard"]
+    placed = dealt_out.join(ends, (dealt_out["hub"] == ends["h"]) & (dealt_out["part"] == ends["part"])).withColumn("shard", place)
 
     single = stage(rows.join(groups.select("hub"), "hub", "left_anti").withColumn("g", F.lit(0)), "shard-single")
     filled = number_within(single, ["g"], F.xxhash64("hub"), [F.col("hub")], "k", cells).withColumn("shard", _by_room(F.col("k"), room))

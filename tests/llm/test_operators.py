@@ -79,6 +79,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert got[("1", "revisit")]["refers_key"] == "2" and got[("1", "revisit")]["payload_bytes"] == len("<p>é</p>".encode())
     assert got[("3", "revisit")]["refers_key"] == "4" and got[("7", "revisit")]["refers_key"] == "7"
     assert not [f for f in (tmp_path / "a").iterdir() if f.name.startswith("_temporary")]
+    odd = spark.createDataFrame([(i, f"http://a/{i}", "long " * (400_000 if i < 2 else i), i, "k", b"t") for i in range(12)], "page_id long, url string, html string, shard int, kind string, top binary")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "_temporary-lost").write_text("left by a lost task")
+    manifest = warc.write_warc(odd, str(tmp_path / "d"), shard_bytes=700, roll_bytes=1 << 20).collect()
+    assert len({r["shard"] for r in manifest}) > 2 and [f for f in (tmp_path / "d").iterdir() if f.name.startswith("_temporary")] == []
+    assert sorted((r["record_key"], r["payload_bytes"]) for r in warc.read_warc(spark, str(tmp_path / "d")).collect()) == sorted((str(i), len("long ") * (400_000 if i < 2 else i)) for i in range(12))
     warc.write_warc(pages.limit(0), str(tmp_path / "c"))
     assert warc.read_warc(spark, str(tmp_path / "c")).count() == 0
 
@@ -240,6 +246,42 @@ def test_sharding_balances_and_keeps_groups(spark):
     assert max(tight.values()) - min(tight.values()) <= 1
 
 
+def _least_cut(groups, capacity):
+    """The fewest pairs of one group in two shards, over all ways to place the groups' members."""
+    def place(n, room):
+        if len(room) == 1:
+            if n <= room[0]:
+                yield (n,)
+            return
+        for first in range(min(n, room[0]) + 1):
+            for rest in place(n - first, room[1:]):
+                yield (first, *rest)
+
+    best = {tuple(capacity): 0}
+    for n in groups:
+        after = {}
+        for room, cut in best.items():
+            for way in place(n, room):
+                left = tuple(sorted(r - x for r, x in zip(room, way, strict=True)))
+                cost = cut + (n * n - sum(x * x for x in way)) // 2
+                after[left] = min(after.get(left, 1 << 60), cost)
+        best = after
+    return min(best.values())
+
+
+def test_sharding_cuts_little_more_than_the_best_placement(spark, monkeypatch):
+    for seed, groups in enumerate(([5, 4, 3, 3, 2], [9, 2, 2, 2], [4, 4, 4, 4], [7, 6, 5])):
+        single = 24 - sum(groups)
+        texts = [f"g{i}" for i, n in enumerate(groups) for _ in range(n)] + [f"s{i}" for i in range(single)]
+        random.Random(seed).shuffle(texts)
+        monkeypatch.setattr(sharding, "LARGE", 256 if seed % 2 else 3)  # 3: all but groups larger than a shard are propagated
+        rows = sharding.shard(documents(spark, texts), shards=4).collect()
+        assert set(collections.Counter(r["shard"] for r in rows).values()) == {6}
+        cut = sum(texts[a["doc_id"]] == texts[b["doc_id"]] and a["shard"] < b["shard"] for a in rows for b in rows)
+        links, best = sum(n * (n - 1) // 2 for n in groups), _least_cut(groups, [6] * 4)
+        assert best <= cut <= best + links / 4
+
+
 def test_propagation_fills_shards_to_the_last_place(spark):
     groups = spark.createDataFrame([(b"hot", 240)], "hub binary, members long")
     assert sorted(r["n"] for r in sharding.propagate(groups, [90] * 8).collect()) == [60, 90, 90]
