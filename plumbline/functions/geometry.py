@@ -76,7 +76,7 @@ def rounded(value: Column, places: int = 3) -> Column:
 def general(value: Column) -> Column:
     """Six significant digits without trailing zeros below a million, else an integer."""
     exact = F.format_string("%.6g", value)
-    short = F.regexp_replace(F.regexp_replace(exact, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(exact, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return F.when(F.abs(value) >= 1e6, F.format_string("%.0f", value)).when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(short)
 
 

@@ -31,12 +31,14 @@ class NotADrawing(ValueError):
 
 
 def _pairs(text: str, warnings: list[str]) -> Iterator[tuple[int, str]]:
-    lines = text.splitlines()
+    lines, bad = text.splitlines(), []
     for i in range(0, len(lines) - 1, 2):
         try:
             yield int(lines[i]), lines[i + 1].strip("\r\n")
         except ValueError:
-            warnings.append(f"Line {i + 1} is not a group code; the pair was skipped.")
+            bad.append(i + 1)
+    if bad:
+        warnings.append(f"Recovered from {len(bad)} errors: no group code on line {', '.join(map(str, bad[:5]))}{' and more' if len(bad) > 5 else ''}.")
 
 
 def _records(pairs: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
@@ -320,7 +322,12 @@ def _parse_all(strict: bool):
         for batch in batches:
             out = []
             for drawing_id, content in zip(batch["drawing_id"], batch["content"], strict=True):
-                unit_code, warnings, rows = parse(bytes(content).decode("utf-8", "replace"), strict)
+                try:
+                    unit_code, warnings, rows = parse(bytes(content).decode("utf-8", "replace"), strict)
+                except NotADrawing as error:
+                    if strict:
+                        raise
+                    unit_code, warnings, rows = 0, [str(error)], []
                 out.append((drawing_id, unit_code, warnings, [{n: r.get(n) for n in names} for r in rows]))
             yield pd.DataFrame(out, columns=["drawing_id", "unit_code", "warnings", "entities"])
 
@@ -330,8 +337,8 @@ def _parse_all(strict: bool):
 def read_dxf(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """drawing_id, unit_code, warnings and entities (in file order), one row per ``*.dxf`` file below ``path``.
 
-    ``mode`` FAILFAST raises on anything that PERMISSIVE would skip with a warning. A file
-    that is no drawing at all raises in both.
+    ``mode`` FAILFAST raises on anything that PERMISSIVE would skip with a warning. In the
+    latter a file that is no drawing at all is a row without entities that says so.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dxf").option("recursiveFileLookup", "true").load(path)
     named = files.select(F.regexp_extract("path", r"([^/]+)\.dxf$", 1).alias("drawing_id"), "content")

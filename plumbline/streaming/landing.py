@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +30,25 @@ def arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return fits.select(upload_id(F.col("path"), F.col("content")).alias("upload_id"), kind.alias("kind"), F.col("length").alias("size"), "content", F.col("modificationTime").alias("arrived"))
 
 
+def _readable(kinds: pd.Series, contents: pd.Series) -> pd.Series:
+    def fine(kind: str, content: bytes) -> bool:
+        if kind == ".pdf":
+            return bytes(content[:1024]).find(b"%PDF-") >= 0
+        try:
+            dxf.parse(bytes(content).decode("utf-8", "replace"))
+        except (dxf.NotADrawing, ValueError):
+            return False
+        return True
+
+    return pd.Series([fine(k, c) for k, c in zip(kinds, contents, strict=True)], dtype=bool)
+
+
+def valid(stream: DataFrame) -> DataFrame:
+    """Arrivals that can be read as what their name says; the others are dropped."""
+    readable = F.pandas_udf(_readable, "boolean")
+    return stream.where(readable("kind", "content"))
+
+
 def land(stream: DataFrame, table: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Write arrivals as Parquet, each content once within ``late``; takes what there is and ends."""
     once = stream.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["upload_id"])

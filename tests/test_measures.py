@@ -1,23 +1,18 @@
-"""Measures, checks, scores and landing of drawings, against plain Python and the sample drawings' manifests."""
+"""Measures, scores and landing of drawings, against plain Python."""
+
+import math
 
 import pytest
 from pyspark.sql import functions as F
-from test_drawings import SAMPLES, manifests, needs_samples
 
-from plumbline.operators import compliance, evaluation, measures, netlist, retrieval, spatial
-from plumbline.sources import dxf
+from plumbline.functions import geometry as G
+from plumbline.operators import evaluation, measures, retrieval, spatial
+from plumbline.operators.netlist import tag_of
 from plumbline.streaming import landing
 
 
-@pytest.fixture(scope="module")
-def drawn(spark):
-    parsed = dxf.read_dxf(spark, str(SAMPLES)).cache()
-    return dxf.drawings(parsed).cache(), dxf.entities(parsed).cache()
-
-
-@needs_samples
-def test_counts_and_lengths(drawn):
-    sheets, rows = drawn
+def test_counts_and_lengths(facts):
+    sheets, rows = facts.sheets, facts.entities
     plain = rows.toPandas()
     got = {r["drawing_id"]: r["n"] for r in measures.count_entities(rows, "POLYLINE", " rooms ").collect()}
     asked = plain[plain["type"].isin(["POLYLINE", "LWPOLYLINE"]) & (plain["layer"].str.upper() == "ROOMS")]
@@ -32,61 +27,22 @@ def test_counts_and_lengths(drawn):
     assert whole == plain[plain["cx"].notna()].groupby("drawing_id").size().to_dict()
 
 
-@needs_samples
-def test_holes_of_parts(drawn):
-    _, rows = drawn
-    got = {}
-    for r in measures.circles(rows, "HOLES").collect():
-        got.setdefault(r["drawing_id"], {})[r["diameter"]] = r["n"]
-    for name, m in manifests("mechanical").items():
-        want = {}
-        for hole in m["holes"]:
-            want[float(hole["d"])] = want.get(float(hole["d"]), 0) + 1
-        assert got[name] == want
-
-
-@needs_samples
-def test_building_checks(drawn):
-    sheets, rows = drawn
-    plans = manifests("floorplan")
-    doors = {r["drawing_id"]: r for r in compliance.verdicts(compliance.doors(spatial.block_inserts(rows, sheets, "DOOR"), 800, 700)).collect()}
-    rooms = compliance.verdicts(compliance.room_areas(spatial.labeled_regions(rows, sheets, "ROOMS"), {"BEDROOM": 9.5})).collect()
-    rooms = {r["drawing_id"]: r["verdict"] for r in rooms}
-    seen = compliance.verdicts(compliance.windows(spatial.count_per_region(rows, sheets, "WINDOWS", "ROOMS"))).collect()
-    seen = {r["drawing_id"]: r["verdict"] for r in seen}
-    for name, m in plans.items():
-        narrow = sorted(x["name"] for x in m["rooms"] if x["door_width"] < (700 if x["name"].startswith("BATH") else 800))
-        assert doors[name]["failing"] == narrow and doors[name]["verdict"] == ("FAIL" if narrow else "PASS")
-        beds = [x for x in m["rooms"] if x["name"].startswith("BEDROOM")]
-        assert rooms.get(name) == (None if not beds else "FAIL" if any(round(x["area_m2"], 3) < 9.5 for x in beds) else "PASS")
-        dark = [x for x in m["rooms"] if x["name"].split()[0] in compliance.NEED_WINDOW and not x["windows"]]
-        assert seen[name] == ("FAIL" if dark else "PASS")
-
-
-@needs_samples
-def test_circuit_checks(drawn):
-    sheets, rows = drawn
-    rows = rows.where(F.col("drawing_id").startswith("db-"))
-    parts = netlist.components(rows).cache()
-    edges = netlist.adjacency(netlist.attachments(rows, sheets, parts)).cache()
-    below = netlist.downstream(edges, netlist.distances(edges, netlist.sources(parts)))
-    circuits = netlist.downstream_summary(parts, below).cache()
-    capacity, reach = {1.5: 16, 2.5: 20, 4.0: 32, 6.0: 40}, {1.5: 25, 2.5: 25, 4.0: 30, 6.0: 40}
-    got = {
-        "breaker": compliance.verdicts(compliance.breaker_sizes(circuits, capacity)),
-        "length": compliance.verdicts(compliance.cable_lengths(circuits, reach)),
-        "load": compliance.verdicts(compliance.loads(circuits, 80, 230)),
-    }
-    got = {k: {r["drawing_id"]: r["failing"] for r in v.collect()} for k, v in got.items()}
-    for name, m in manifests("electrical").items():
-        cs = m["circuits"]
-        assert got["breaker"].get(name, []) == sorted(c["tag"] for c in cs if c["rating_a"] > capacity.get(float(c["cable_size"]), 1e9))
-        assert got["length"].get(name, []) == sorted(c["tag"] for c in cs if c["cable_length_m"] > reach.get(float(c["cable_size"]), 1e9))
-        assert got["load"].get(name, []) == sorted(c["tag"] for c in cs if c["load_w"] > 0.8 * c["rating_a"] * 230)
-    unknown = compliance.verdicts(compliance.loads(circuits, None, 230)).collect()
-    assert unknown and all(r["verdict"] is None for r in unknown)
-    bill = measures.bill_of_materials(parts).groupBy("drawing_id").agg(F.sum("qty").alias("n"))
-    assert {r["drawing_id"]: r["n"] for r in bill.collect()} == {r["drawing_id"]: r["n"] for r in parts.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+def test_columns_of_numbers_and_geometry(spark):
+    row = spark.range(1).select(
+        G.arc_length(F.lit(2.0), F.lit(350.0), F.lit(10.0)).alias("arc"), G.arc_length(F.lit(1.0), F.lit(30.0), F.lit(30.0)).alias("turn"),
+        *(G.general(F.lit(x)).alias(f"g{i}") for i, x in enumerate((0.5, 27.38, 3000.0, 1234567.0, 1e-5, 0.1 + 0.2))),
+        G.number(F.lit(" 1,200.5 ")).alias("n"), G.number(F.lit("x")).alias("none"), G.rounded(F.lit(float("nan"))).alias("nan"),
+        tag_of(F.create_map(F.lit("TAG"), F.lit(""), F.lit("REFDES"), F.lit("R1"), F.lit("ID"), F.lit("7"))).alias("tag"),
+    ).first()
+    assert row["arc"] == pytest.approx(2 * math.radians(20)) and row["turn"] == pytest.approx(2 * math.pi)
+    assert [row[f"g{i}"] for i in range(6)] == ["0.5", "27.38", "3000", "1234567", "1e-05", "0.3"]
+    assert (row["n"], row["none"], row["nan"], row["tag"]) == (1200.5, None, None, "R1")
+
+
+def test_windows_count_within_a_tolerance(spark, facts):
+    near = {r["drawing_id"]: r["n"] for r in spatial.count_per_region(facts.entities, facts.sheets, "ROOM_NAMES", "ROOMS", 0.0).groupBy("drawing_id").agg(F.sum("count").alias("n")).collect()}
+    wide = {r["drawing_id"]: r["n"] for r in spatial.count_per_region(facts.entities, facts.sheets, "ROOM_NAMES", "ROOMS", 1000.0).groupBy("drawing_id").agg(F.sum("count").alias("n")).collect()}
+    assert all(wide[d] > near[d] for d in near)  # the corridor's name lies within a metre of rooms on both sides
 
 
 def test_scores(spark):
@@ -126,3 +82,18 @@ def test_landing(spark, tmp_path):
     landing.land(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["upload_id"] for r in rows} == {"up-9dd4e461268c-a-b.dxf", "up-415290769594-copy.dxf"}
+    assert landing.valid(spark.read.parquet(str(tmp_path / "out"))).count() == 0
+
+
+def test_uploads_are_parsed_as_they_come(spark, samples, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bad.dxf").write_text("no drawing")
+    (tmp_path / "in" / "paper.pdf").write_bytes(b"%PDF-1.7 ...")
+    (tmp_path / "in" / "plan.dxf").write_text((samples[0] / "drawings" / "plan-001.dxf").read_text())
+    stream = landing.valid(landing.arrivals(spark, str(tmp_path / "in")))
+    landing.land(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r["upload_id"][16:] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["paper.pdf", "plan.dxf"]
+    query = landing.entities(landing.arrivals(spark, str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and query.exception() is None
+    rooms = spark.read.parquet(str(tmp_path / "rows")).where("layer = 'ROOMS'").count()
+    assert rooms == samples[1]["plan-001"]["counts"]["rooms"]
