@@ -29,6 +29,8 @@ PROJECTIONS, SHARE = 128, 0.6
 FIRST, PART, FACTOR = 0.3, 0.5, 1.5
 #: Vectors indexed at a time, bytes of queries searched at a time, and vectors of the sample that bounds the k-th distance.
 CHUNK, BLOCK_BYTES, SAMPLE = 1 << 14, 16 << 20, 4096
+#: Projections lie nearer to 0 than half of this.
+APART = 1e4
 SEED = 5
 
 
@@ -47,8 +49,11 @@ class CollisionIndex:
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         values = (vectors / self.norms[:, None]) @ self.directions
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values, self.order.T, 0).T.copy()
+        order = np.argsort(values, axis=0, kind="stable")
+        #: All arrays end to end, each shifted by so much that one binary search places a query on all of them.
+        self.shift = APART * np.arange(projections)
+        self.order = order.T.astype("i4").ravel()
+        self.sorted = (np.take_along_axis(values, order, 0) + self.shift).T.ravel()
         self.verified = 0
 
     def search(self, queries: np.ndarray, ids: np.ndarray, k: int = K, far: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,46 +62,46 @@ class CollisionIndex:
         ``far`` are distances that each query's k-th nearest is known not to exceed.
         """
         norms = np.sqrt((queries * queries).sum(1))
-        centres = (queries / norms[:, None]) @ self.directions
-        found: list[tuple] = [(np.zeros(0, "i8"), np.zeros(0))] * len(queries)
-        far = np.full(len(queries), np.inf) if far is None else far.copy()
-        seen = [np.zeros(0, "i8")] * len(queries)
-        todo = np.arange(len(queries))
-        m, n = self.order.shape
-        half = np.where(np.isfinite(far), PART * far, FIRST)
-        while len(todo):
-            width = np.minimum(half[todo], far[todo])  # no wider than what is left to find
-            lo = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] - width, "left") for j in range(m)], 1)
-            hi = np.stack([np.searchsorted(self.sorted[j], centres[todo, j] + width, "right") for j in range(m)], 1)
-            again = []
-            for t, q in enumerate(todo):
-                whole = not np.isfinite(far[q]) and half[q] > 2.0
-                if whole:
-                    rows = np.arange(n)
-                else:
-                    hits = np.concatenate([self.order[j, lo[t, j] : hi[t, j]] for j in range(m)])
-                    rows = np.flatnonzero(np.bincount(hits, minlength=n) >= SHARE * m)
-                rows = np.setdiff1d(rows[self.names[rows] != ids[q]], seen[q], assume_unique=True)
-                self.verified += len(rows)
-                seen[q] = np.concatenate([seen[q], rows])
-                # Summed row by row: a matrix product may round equal vectors apart, and ties then go to any id.
-                cosines = (self.vectors[rows] * queries[q]).sum(1) / (self.norms[rows] * norms[q])
-                rows, cosines = np.concatenate([found[q][0], rows]), np.concatenate([found[q][1], cosines])
-                if self.repeats:
-                    order = np.lexsort((-cosines, self.names[rows]))
-                    best = order[np.unique(self.names[rows[order]], return_index=True)[1]]
-                    rows, cosines = rows[best], cosines[best]
-                if len(rows) > k:
-                    part = np.argpartition(-cosines, k - 1)[:k]
-                    part = np.flatnonzero(cosines >= cosines[part].min())  # ties at the edge are settled by id later
-                    rows, cosines = rows[part], cosines[part]
-                found[q] = (rows, cosines)
-                if len(rows) >= k:
-                    far[q] = min(far[q], np.sqrt(max(0.0, 2 - 2 * cosines.min())))
-                if not whole and width[t] < far[q]:
-                    again.append(q)
-            todo, half = np.array(again, "i8"), half * FACTOR
-        return found
+        centres = (queries / norms[:, None]) @ self.directions + self.shift
+        far = np.full(len(queries), np.inf) if far is None else far
+        return [self._one(queries[q], norms[q], centres[q], ids[q], k, float(far[q])) for q in range(len(queries))]
+
+    def _one(self, query: np.ndarray, norm: float, centre: np.ndarray, own: int, k: int, far: float) -> tuple[np.ndarray, np.ndarray]:
+        n, m = len(self.names), len(centre)
+        counts, seen = np.zeros(n, "i8"), self.names == own
+        rows, cosines = np.zeros(0, "i8"), np.zeros(0)
+        half = PART * far if np.isfinite(far) else FIRST
+        lo = hi = np.searchsorted(self.sorted, centre)
+        while True:
+            whole = not np.isfinite(far) and half > 2.0
+            width = min(half, far)  # no wider than what is left to find
+            if whole:
+                fresh = np.flatnonzero(~seen)
+            else:
+                low, high = np.searchsorted(self.sorted, centre - width, "left"), np.searchsorted(self.sorted, centre + width, "right")
+                rings = [self.order[a:b] for a, b in zip(low, lo, strict=True) if a < b] + [self.order[a:b] for a, b in zip(hi, high, strict=True) if a < b]
+                if rings:
+                    counts += np.bincount(np.concatenate(rings), minlength=n)
+                lo, hi = low, high
+                fresh = np.flatnonzero((counts >= SHARE * m) & ~seen)
+            seen[fresh] = True
+            self.verified += len(fresh)
+            # Summed row by row: a matrix product may round equal vectors apart, and ties then go to any id.
+            more = (self.vectors[fresh] * query).sum(1) / (self.norms[fresh] * norm)
+            rows, cosines = np.concatenate([rows, fresh]), np.concatenate([cosines, more])
+            if self.repeats:
+                order = np.lexsort((-cosines, self.names[rows]))
+                best = order[np.unique(self.names[rows[order]], return_index=True)[1]]
+                rows, cosines = rows[best], cosines[best]
+            if len(rows) > k:
+                part = np.argpartition(-cosines, k - 1)[:k]
+                part = np.flatnonzero(cosines >= cosines[part].min())  # ties at the edge are settled by id later
+                rows, cosines = rows[part], cosines[part]
+            if len(rows) >= k:
+                far = min(far, np.sqrt(max(0.0, 2 - 2 * cosines.min())))
+            if whole or width >= far:
+                return rows, cosines
+            half *= FACTOR
 
 
 def _reach(names: np.ndarray, vectors: np.ndarray, k: int):
