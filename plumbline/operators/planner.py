@@ -59,7 +59,11 @@ class Facts:
 
     @cached_property
     def below(self) -> DataFrame:
-        return netlist.downstream(self.edges, netlist.distances(self.edges, netlist.sources(self.parts)))
+        return netlist.downstream(self.edges, self.distances)
+
+    @cached_property
+    def distances(self) -> DataFrame:
+        return netlist.distances(self.edges, netlist.sources(self.parts))
 
     @cached_property
     def circuits(self) -> DataFrame:

@@ -135,7 +135,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     kind = F.get(F.array(*map(F.lit, ["number", "label", "verdict", "not_found", "clause"])), (o % 5).cast("int"))
-    price, off = F.col("o_totalprice"), (o % 4) / 200
+    price, off = F.col("o_totalprice"), (o % 4) / 150
     expected = F.when(kind == "number", F.format_string("%.2f", price)).when(kind == "label", F.concat(F.col("o_orderpriority"), F.lit("|none"))).when(kind == "verdict", F.when(o % 2 == 0, "PASS").otherwise("FAIL")).when(kind == "clause", F.concat((o % 9).cast("string"), F.lit(".1")))
     wrong = o % 3 == 0
     final = F.when(kind == "number", F.format_number(price * (1 + off), 2)).when(kind == "label", F.when(wrong, "other").otherwise(F.lower(F.concat(F.lit("it is "), "o_orderpriority")))).when(kind == "verdict", F.when(wrong, "unclear").otherwise(F.lit("pass, all well"))).when(kind == "not_found", F.when(wrong, "yes").otherwise("NOT_FOUND"))
@@ -145,7 +145,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RESULTS = """
 scored AS (SELECT o_orderkey AS question_id, o_orderstatus AS domain, o_totalprice, ['number', 'label', 'verdict', 'not_found', 'clause'][o_orderkey % 5 + 1] AS kind, CASE o_orderkey % 5
-  WHEN 0 THEN abs(round(o_totalprice * (1 + o_orderkey % 4 / 200), 2) - round(o_totalprice, 2)) <= greatest(0.01, 0.01 * round(o_totalprice, 2)) WHEN 2 THEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 ELSE o_orderkey % 3 <> 0 END AS correct FROM orders)
+  WHEN 0 THEN abs(round(o_totalprice * (1 + o_orderkey % 4 / 150), 2) - round(o_totalprice, 2)) <= greatest(0.01, 0.01 * round(o_totalprice, 2)) WHEN 2 THEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 ELSE o_orderkey % 3 <> 0 END AS correct FROM orders)
 """
 
 

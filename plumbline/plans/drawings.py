@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import general, number, rounded
 from plumbline.operators import measures, netlist, spatial, textual
-from plumbline.plans.drawn import boards_only, drawn
+from plumbline.plans.drawn import drawn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,18 +165,18 @@ def extreme_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT drawing_id, tag, type FROM part_list", BOARDS_SQL)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boards_only(drawn(spark, sf_dir)).parts.select("drawing_id", "tag", "type")
+    return drawn(spark, sf_dir).parts.select("drawing_id", "tag", "type")
 
 
 @_query("SELECT drawing_id, cable AS tag, '4' AS size FROM mcb WHERE size = 4", BOARDS_SQL)
 def components_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = measures.with_attribute(boards_only(drawn(spark, sf_dir)).parts, "cable", " size_sqmm", "4.0")
+    found = measures.with_attribute(drawn(spark, sf_dir).parts, "cable", " size_sqmm", "4.0")
     return found.select("drawing_id", "tag", F.element_at("attribs", "SIZE_SQMM").alias("size"))
 
 
 @_query("SELECT p.drawing_id, p.tag, any_value(p.type) AS type, count(b) AS n, coalesce(string_agg(b, ' ' ORDER BY b), '') AS connected_to FROM part_list AS p LEFT JOIN near ON near.drawing_id = p.drawing_id AND a = tag GROUP BY ALL", BOARDS_SQL)
 def connected_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = boards_only(drawn(spark, sf_dir))
+    f = drawn(spark, sf_dir)
     return measures.component_details(f.parts, f.edges).select("drawing_id", "tag", "type", F.size("connected_to").cast("long").alias("n"), F.array_join("connected_to", " ").alias("connected_to"))
 
 
@@ -185,38 +185,38 @@ def connected_to(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT drawing_id, unnest(['Supply', 'METER']), '', 1 FROM board UNION ALL SELECT drawing_id, 'MAIN_SWITCH', 'RATING_A=' || [50, 63, 80, 100][b % 4 + 1], 1 FROM board
   UNION ALL SELECT drawing_id, type, CASE type WHEN 'RESISTOR' THEN 'VALUE_OHM=' || s * 10 WHEN 'CAPACITOR' THEN 'VALUE_UF=' || (s / 10)::VARCHAR ELSE '' END, count(*) FROM ckt GROUP BY ALL""", BOARDS_SQL)
 def bill_of_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures.bill_of_materials(boards_only(drawn(spark, sf_dir)).parts)
+    return measures.bill_of_materials(drawn(spark, sf_dir).parts)
 
 
 @_query("""SELECT 'load' AS what, d.drawing_id, count(w) AS n, coalesce(sum(w), 0)::DOUBLE AS total, max(w)::DOUBLE AS largest, min(w)::DOUBLE AS smallest FROM (SELECT DISTINCT drawing_id FROM part_list) AS d LEFT JOIN lamp USING (drawing_id) GROUP BY d.drawing_id
   UNION ALL SELECT 'cable', d.drawing_id, count(length), coalesce(sum(length), 0)::DOUBLE, max(length)::DOUBLE, min(length)::DOUBLE FROM (SELECT DISTINCT drawing_id FROM part_list) AS d LEFT JOIN mcb USING (drawing_id) GROUP BY d.drawing_id""", BOARDS_SQL)
 def sum_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = boards_only(drawn(spark, sf_dir)).parts
+    parts = drawn(spark, sf_dir).parts
     return measures.sum_attribute(parts, "load_w").withColumn("what", F.lit("load")).unionByName(measures.sum_attribute(parts, "LENGTH_M", "cable").withColumn("what", F.lit("cable")))
 
 
 @_query("SELECT drawing_id, string_agg(tag, ' ' ORDER BY tag) AS members FROM net GROUP BY drawing_id, net HAVING count(*) > 1", BOARDS_SQL)
 def nets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return netlist.nets(boards_only(drawn(spark, sf_dir)).attached).select("drawing_id", F.array_join("members", " ").alias("members"))
+    return netlist.nets(drawn(spark, sf_dir).attached).select("drawing_id", F.array_join("members", " ").alias("members"))
 
 
 @_query("""SELECT drawing_id, tag, CASE type WHEN 'Supply' THEN 0 WHEN 'MAIN_SWITCH' THEN 1 WHEN 'MCB' THEN 2 WHEN 'CABLE' THEN 3 WHEN 'RCD' THEN 4 END::BIGINT AS dist FROM part_list WHERE type IN ('Supply', 'MAIN_SWITCH', 'MCB', 'CABLE', 'RCD')
   UNION ALL SELECT drawing_id, tag, CASE WHEN rcd IS NULL THEN 4 ELSE 5 END FROM lamp""", BOARDS_SQL)
 def supply_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = boards_only(drawn(spark, sf_dir))
-    return netlist.distances(f.edges, netlist.sources(f.parts)).select("drawing_id", "tag", F.col("dist").cast("long").alias("dist"))
+    f = drawn(spark, sf_dir)
+    return f.distances.select("drawing_id", "tag", F.col("dist").cast("long").alias("dist"))
 
 
 @_query("SELECT below.drawing_id, below.root, count(*) AS n, coalesce(sum(w), 0)::DOUBLE AS total FROM below LEFT JOIN lamp ON lamp.drawing_id = below.drawing_id AND lamp.tag = below.tag GROUP BY below.drawing_id, below.root", BOARDS_SQL)
 def downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = boards_only(drawn(spark, sf_dir))
+    f = drawn(spark, sf_dir)
     fed = f.below.join(f.parts.select("drawing_id", "tag", number(F.element_at("attribs", "LOAD_W")).alias("w")), ["drawing_id", "tag"])
     return fed.groupBy("drawing_id", "root").agg(F.count(F.lit(1)).alias("n"), rounded(F.coalesce(F.sum("w"), F.lit(0.0))).alias("total"))
 
 
 @_query("""SELECT drawing_id, tag, 'CABLE=1' || CASE WHEN n > 0 AND kind < 'CABLE' THEN '' ELSE '' END || CASE WHEN rcd IS NULL THEN '' ELSE ' RCD=1' END AS devices, CASE WHEN n > 0 THEN kind || '=' || n ELSE '' END AS loads, total, size, ma::DOUBLE AS ma, rating::DOUBLE AS rating FROM sums""", BOARDS_SQL)
 def downstream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boards_only(drawn(spark, sf_dir)).circuits
+    rows = drawn(spark, sf_dir).circuits
     entries = F.array_sort(F.map_entries("feeds"))
     said = lambda keep: F.array_join(F.transform(F.filter(entries, lambda e: keep(e["key"])), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
     of = lambda column, name: number(F.element_at(F.col(column), name))
@@ -225,7 +225,7 @@ def downstream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT drawing_id, tag AS b, 'MAIN>' || root || '>' || cable || '>' || CASE WHEN rcd IS NULL THEN '' ELSE rcd || '>' END || tag AS path, CASE WHEN rcd IS NULL THEN 3 ELSE 4 END::BIGINT AS hops FROM lamp UNION ALL SELECT drawing_id, 'MAIN', 'MAIN', 0 FROM board", BOARDS_SQL)
 def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = boards_only(drawn(spark, sf_dir))
+    f = drawn(spark, sf_dir)
     loads = f.parts.where(F.element_at("attribs", "LOAD_W").isNotNull() | (F.col("tag") == "MAIN") | (F.col("tag") == "X9"))
     wanted = loads.select("drawing_id", F.lit("MAIN").alias("a"), F.col("tag").alias("b"))
     return netlist.paths(f.edges, wanted).select("drawing_id", "b", F.array_join("path", ">").alias("path"), F.col("hops").cast("long").alias("hops"))
@@ -233,18 +233,18 @@ def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT drawing_id, count(*) AS circuits, round(sum(total) / 1000, 1) AS load_kw, count(rcd) FILTER (n >= 0) AS protected, arg_max(tag, struct_pack(t := total, p := -p)) AS highest FROM sums GROUP BY drawing_id", BOARDS_SQL)
 def board_at_a_glance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boards_only(drawn(spark, sf_dir)).circuits
+    rows = drawn(spark, sf_dir).circuits
     return netlist.glance(rows).join(netlist.highest_load(rows).select("drawing_id", F.col("tag").alias("highest")), "drawing_id")
 
 
 @_query("SELECT drawing_id, tag, total, round(CASE WHEN m > 0 THEN 100 * total / m ELSE 0 END, 3) AS share FROM (SELECT *, max(total) OVER (PARTITION BY drawing_id) AS m FROM sums)", BOARDS_SQL)
 def load_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return netlist.load_shares(boards_only(drawn(spark, sf_dir)).circuits)
+    return netlist.load_shares(drawn(spark, sf_dir).circuits)
 
 
 @_query("SELECT drawing_id, word, CASE word WHEN 'main' THEN 'MAIN' WHEN ' c1 ' THEN 'C1' ELSE 'SUP1' END AS tag FROM (SELECT drawing_id, unnest(['main', 'SUP1']) AS word FROM board UNION ALL SELECT drawing_id, ' c1 ' FROM mcb WHERE p = 0 UNION ALL SELECT drawing_id, ' c1 ' FROM ckt WHERE tag = 'C1')", BOARDS_SQL)
 def tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = boards_only(drawn(spark, sf_dir))
+    f = drawn(spark, sf_dir)
     words = f.sheets.select("drawing_id", F.explode(F.array(*map(F.lit, ["main", " c1 ", "SUP1", "Z99"]))).alias("word"))
     return netlist.find(f.parts, words)
 

@@ -162,15 +162,29 @@ def _diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-def drawn(spark: SparkSession, sf_dir: str) -> Facts:
-    """All drawings, staged: their entities and, as the DXF source gives them, their sheets."""
-    rows = stage(reduce(DataFrame.unionByName, [_plans(spark, sf_dir), _boards(spark, sf_dir), _diagrams(spark, sf_dir)]), "drawn")
-    held = F.collect_list(F.struct(*(F.col(n) for n, _ in _NAMES)))
-    parsed = rows.groupBy("drawing_id").agg(held.alias("entities")).select("drawing_id", F.when(F.startswith("drawing_id", F.lit("brk-")), 1).otherwise(4).alias("unit_code"), F.array().cast("array<string>").alias("warnings"), "entities")
-    return Facts(rows, stage(dxf.drawings(parsed), "drawn-sheets"))
+_made: dict[tuple, Facts] = {}
+
 
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """The application, and length and time of change of the tables that drawings are made from."""
+    found = [spark.sparkContext.applicationId, sf_dir]
+    for table in ("part", "customer", "orders", "supplier"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        found += [status.getLen(), status.getModificationTime()]
+    return tuple(found)
 
-def boards_only(facts: Facts) -> Facts:
-    """The schematics among the drawings."""
-    keep = F.startswith("drawing_id", F.lit("db-")) | F.startswith("drawing_id", F.lit("ckt-"))
-    return Facts(facts.entities.where(keep), facts.sheets.where(keep))
+
+def drawn(spark: SparkSession, sf_dir: str) -> Facts:
+    """All drawings, staged: their entities and, as the DXF source gives them, their sheets.
+
+    They are made once for each version of the tables; what queries compute from them is
+    kept with them.
+    """
+    key = _version(spark, sf_dir)
+    if key not in _made:
+        rows = stage(reduce(DataFrame.unionByName, [_plans(spark, sf_dir), _boards(spark, sf_dir), _diagrams(spark, sf_dir)]), "drawn")
+        held = F.collect_list(F.struct(*(F.col(n) for n, _ in _NAMES)))
+        parsed = rows.groupBy("drawing_id").agg(held.alias("entities")).select("drawing_id", F.when(F.startswith("drawing_id", F.lit("brk-")), 1).otherwise(4).alias("unit_code"), F.array().cast("array<string>").alias("warnings"), "entities")
+        _made[key] = Facts(rows, stage(dxf.drawings(parsed), "drawn-sheets"))
+    return _made[key]
