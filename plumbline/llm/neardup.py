@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.graph import connected_components
+from plumbline.llm.memory import release
 from plumbline.llm.quality import text_of, window_hashes, words_of
 from plumbline.staging import discard, stage
 
@@ -247,7 +248,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         sketch = pa.StructArray.from_arrays([listed(words), pa.array(sums[:, 0].astype("i4")), pa.array(sums[:, 1])], names=["words", "distinct", "extra"])
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], listed(keys), sketch], names=["doc_id", "th", "node", "bands", "sketch"])
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task
+    release()
 
 
 def _weigh(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +268,7 @@ def _verify(threshold: float):
                 left = _weigh(left_values[i].values.to_numpy().view("u8"))
                 keep.append(probability_jaccard(*left, *right) >= threshold - 1e-12)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        release()
 
     return run
 

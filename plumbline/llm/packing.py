@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.memory import release
 from plumbline.ranking import cells_for, number_within
 from plumbline.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Characters of a text that are split at a time.
 SLICE = 1 << 20
 
@@ -158,6 +159,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype("i4") for x in columns[4]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            del out, columns, arrays
+        release()
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

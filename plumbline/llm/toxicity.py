@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.memory import release
 from plumbline.staging import stage
 
 THRESHOLD = 0.7
@@ -67,6 +68,7 @@ class Model:
             for batch in texts:
                 margins = [bias + sum(weights[w] for w in sorted(words_in(t) & names)) for t in batch]
                 yield pd.Series(1.0 / (1.0 + np.exp(-np.array(margins, "f8"))))
+            release()
 
         return score(text)
 
@@ -100,6 +102,8 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         words = [sorted(words_in(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["positive", "words"])
+        del words
+    release()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 11) -> Model:
