@@ -71,6 +71,11 @@ def test_retrieval_report(spark):
     asked = spark.createDataFrame([("a", "how wide are doors", "1.1"), ("b", "cables and current", "1.3"), ("c", "zebra", "1.2")], "query string, text string, clause string")
     rows = evaluation.retrieval_report(pages, asked, {"structure": retrieval.structure_chunks}).collect()
     assert {r["mode"] for r in rows} == {"bm25", "dense", "hybrid"}
+    others = evaluation.retrieval_report(pages, asked, {"fixed": retrieval.fixed_chunks, "sentence": retrieval.sentence_chunks}).collect()
+    assert {(r["strategy"], r["mode"]) for r in others} == {(s, m) for s in ("fixed", "sentence") for m in ("bm25", "dense", "hybrid")} and all(r["recall_3"] >= 0.6 for r in others)
+    asked = asked.withColumn("corpus", F.lit("s"))
+    said = {r["query"]: r["passages"] for r in retrieval.passages(asked, pages, chars=20).collect()}
+    assert set(said) == {"a", "b", "c"} and all(len(p) == 1 and len(p[0]) == 20 for p in said.values())
     assert all(r["chunks"] == 3 and r["recall_1"] == pytest.approx(2 / 3, abs=1e-5) for r in rows)
 
 
