@@ -29,7 +29,7 @@ from plumbline.staging import stage
 CAPACITY = 2048
 END_ID = 0
 #: Words that a worker's cache holds before it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Characters of a text that are split at a time.
 SLICE = 1 << 20
 
