@@ -1,12 +1,12 @@
-"""The ten operators applied to their whole tables with production parameters."""
+"""The operators applied to their whole tables with production parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, mixing, neardup, packing, quality, sharding, tokencount, toxicity, urls, warc
-from plumbline.staging import scratch_path
+from plumbline.llm import ann, lines, mixing, neardup, packing, periodic, quality, sharding, sortmeans, tokencount, toxicity, urls, warc
+from plumbline.staging import scratch_path, stage
 
 
 def _tokenizer() -> str:
@@ -73,6 +73,59 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that a document of a smaller id holds as well."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lines.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite components in 40 clusters, with the clusters' sums of distances."""
+    assigned, centroids = sortmeans.sort_means(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = stage(assigned.select("vec_id", "cluster", "distance"), "clusters")
+    sums = {r["cluster"]: int(r["s"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
+    cut = lambda x: min(x, sortmeans.MOST_LONG)
+    rows = [(i, cut(sums.get(i, 0)), cut(sum(sums.values())), sortmeans.digest(c)) for i, c in enumerate(centroids)]
+    told = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Every tenth document by crc32 of its id with its words from some place on replaced by their first ones, again and again.
+
+    Null ids and texts without words stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        whole = lambda c: c.cast("int")
+        times = F.floor((n - a + p - 1) / p)
+        tail = F.flatten(F.array_repeat(F.slice(w, whole(a + 1), whole(p)), whole(times)))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), whole(a)), F.slice(tail, F.lit(1), whole(n - a))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    new = F.transform(F.array(words), again)[0]  # a variable of the lambda, so that words are split once
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), new).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of all documents, and what is left when each is collapsed to its first period."""
+    found = periodic.collapse_runs(_made_periodic(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    more = lambda x, y: y["length"] * x["period"] > x["length"] * y["period"]
+    best = F.aggregate("runs", F.get(F.col("runs"), F.lit(0)), lambda x, y: F.when(more(x, y), y).otherwise(x))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
@@ -84,6 +137,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filters": op10_url_filters,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {}
@@ -163,3 +219,51 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR host IN (FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+SQL["op11_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), s AS (
+  SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT rid) >= 2
+), m AS (
+  SELECT rid, doc_id, line, pos, s.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN s USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+_SORT_MEANS_ROUND = """
+), a{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.rid, v.v, arg_min(c.cluster, {{'d': v.n + c.n - 2 * list_dot_product(v.v, c.v), 'c': c.cluster}}) AS cluster, min(v.n + c.n - 2 * list_dot_product(v.v, c.v)) AS d
+  FROM v, c{r} c GROUP BY ALL"""
+
+_SORT_MEANS_MEANS = """
+), m{r} AS (
+  SELECT cluster, list(f ORDER BY i) AS v FROM (
+    SELECT cluster, i, floor(sum(x) / count(*)) AS f FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM a{p}) GROUP BY cluster, i) GROUP BY cluster
+), c{r} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.v, c.v) AS v, list_dot_product(coalesce(m.v, c.v), coalesce(m.v, c.v)) AS n FROM c{p} c LEFT JOIN m{r} m USING (cluster)"""
+
+SQL["op12_centroid_clustering"] = (
+    """
+WITH w AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, v, list_dot_product(v, v) AS n FROM w
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v, n FROM (
+    SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v, n FROM v ORDER BY h, v LIMIT 40)"""
+    + "".join(_SORT_MEANS_ROUND.format(r=r) + (_SORT_MEANS_MEANS.format(r=r + 1, p=r) if r < 5 else "") for r in range(6))
+    + """
+)
+SELECT vec_id, cluster::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN c5 c USING (cluster)
+"""
+)
