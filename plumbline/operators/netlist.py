@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbline.functions.geometry import number
 from plumbline.graph import connected_components
 from plumbline.operators.measures import CONDUCTORS
 from plumbline.operators.spatial import points_in_boxes, segments, touching
-from plumbline.staging import stage
+from plumbline.staging import discard, scratch_path, stage
 
 #: Attribute tags in order of precedence, and block names of supplies.
 TAGS = ("TAG", "REF", "REFDES", "NAME", "ID")
@@ -25,9 +28,9 @@ def tag_of(attribs: Column) -> Column:
     return F.coalesce(*(F.nullif(attribs[k], F.lit("")) for k in TAGS))
 
 
-def _sizes(sheets: DataFrame) -> DataFrame:
+def _tolerances(sheets: DataFrame) -> DataFrame:
     extent = F.greatest(F.col("extents.x_max") - F.col("extents.x_min"), F.col("extents.y_max") - F.col("extents.y_min"), F.lit(1.0))
-    return sheets.select("drawing_id", F.greatest(F.lit(1e-6), 1e-4 * extent).alias("tol"), (extent / 64).alias("cell"))
+    return sheets.select("drawing_id", F.greatest(F.lit(1e-6), 1e-4 * extent).alias("tol"))
 
 
 def components(entities: DataFrame) -> DataFrame:
@@ -41,15 +44,15 @@ def components(entities: DataFrame) -> DataFrame:
 
 def attachments(entities: DataFrame, sheets: DataFrame, parts: DataFrame) -> DataFrame:
     """(drawing_id, net, tag): components whose box an end of a conductor touches; touching conductors are one net."""
-    sizes = _sizes(sheets)
+    sizes = _tolerances(sheets)
     wires = stage(segments(entities, is_conductor(F.col("layer"))), "net-segments")
     node = lambda c: F.struct("drawing_id", F.col(c).alias("n"))
     joined = connected_components(touching(wires, sizes).select(node("a").alias("a"), node("b").alias("b")))
     named = wires.withColumn("me", node("segment")).join(joined, F.col("me") == F.col("node"), "left").withColumn("net", F.coalesce("component", "me")["n"])
-    ends = named.join(sizes, "drawing_id").select("drawing_id", "net", "cell", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
-    ends = ends.select("drawing_id", "net", "cell", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
-    boxed = parts.join(sizes.withColumnRenamed("cell", "_size"), "drawing_id").select("drawing_id", "tag", "x_min", "y_min", "x_max", "y_max", "tol", "_size")
-    return points_in_boxes(ends, boxed, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size")).select("drawing_id", "net", "tag").distinct()
+    ends = named.select("drawing_id", "net", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p"))
+    ends = ends.select("drawing_id", "net", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    boxed = parts.join(sizes, "drawing_id").select("drawing_id", "tag", "x_min", "y_min", "x_max", "y_max", "tol")
+    return points_in_boxes(ends, boxed, pad=F.col("tol")).select("drawing_id", "net", "tag").distinct()
 
 
 def nets(attached: DataFrame) -> DataFrame:
@@ -65,81 +68,198 @@ def find(parts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def adjacency(attached: DataFrame) -> DataFrame:
-    """(drawing_id, a, b): ordered pairs of components that share a net."""
+    """(drawing_id, a, b): ordered pairs of components that share a net, for those who want to list them; searches go over nets instead."""
     one, two = attached.alias("x"), attached.alias("y")
     same = (F.col("x.drawing_id") == F.col("y.drawing_id")) & (F.col("x.net") == F.col("y.net")) & (F.col("x.tag") != F.col("y.tag"))
     return one.join(two, same).select(F.col("x.drawing_id").alias("drawing_id"), F.col("x.tag").alias("a"), F.col("y.tag").alias("b")).distinct()
 
 
+def incidence(links: DataFrame) -> DataFrame:
+    """(drawing_id, net, tag): ``links`` as they are if they have nets; each (drawing_id, a, b) as a net of two, whichever way it is given."""
+    if "net" in links.columns:
+        return links.select("drawing_id", "net", "tag")
+    ends = links.select("drawing_id", F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("net"))
+    return ends.select("drawing_id", "net", F.explode(F.array("net.a", "net.b")).alias("tag")).distinct()
+
+
+class _Levels:
+    """A table that grows by one folder for each level of a search, and is never rewritten."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.schema = spark, scratch_path(spark, label), None
+
+    def add(self, level: int, rows: DataFrame) -> DataFrame:
+        """Write the rows of a level and return them as written."""
+        rows.write.parquet(f"{self.path}/level={level}")
+        self.schema = rows.schema
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/level={level}")
+
+    def whole(self) -> DataFrame:
+        """All levels, with ``level``."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("level", IntegerType())])).parquet(self.path)
+
+
 def sources(parts: DataFrame) -> DataFrame:
     """(drawing_id, tag): the first supply in file order."""
     supply = parts.where(F.upper("type").rlike("|".join(SOURCES)))
     return supply.groupBy("drawing_id").agg(F.min_by("tag", "ordinal").alias("tag"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
-    """(drawing_id, tag, dist): hops from each drawing's start, by a frontier that is joined outwards until it is empty."""
-    seen = stage(starts.select("drawing_id", "tag", F.lit(0).alias("dist")), "bfs")
-    front = seen
+def distances(links: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(drawing_id, tag, dist): hops from each drawing's starts, over (drawing_id, net, tag) or links (drawing_id, a, b) either way.
+
+    A frontier goes from components to their nets and on to the nets' members; each net is
+    opened once, so no pairs of a net are made. Neighbours differ by one hop at most, so
+    what was reached before is known from the last nets and the last frontier alone: the
+    work and what is written grow with the components and nets reached. Raises where the
+    frontier isn't empty after ``most`` hops.
+    """
+    member = incidence(links)
+    levels = _Levels(links.sparkSession, "bfs")
+    front, nets = levels.add(0, starts.select("drawing_id", "tag").distinct()), None
     for hop in range(1, most):
-        reached = front.join(edges, (front["drawing_id"] == edges["drawing_id"]) & (front["tag"] == edges["a"])).select(edges["drawing_id"], F.col("b").alias("tag")).distinct()
-        front = stage(reached.join(seen.select("drawing_id", "tag"), ["drawing_id", "tag"], "left_anti").withColumn("dist", F.lit(hop)), "bfs")
+        reached = front.join(member, ["drawing_id", "tag"]).select("drawing_id", "net").distinct()
+        if nets is not None:
+            reached = reached.join(nets, ["drawing_id", "net"], "left_anti")
+        opened = stage(reached, "bfs-nets")
+        found = opened.join(member, ["drawing_id", "net"]).select("drawing_id", "tag").distinct().join(front, ["drawing_id", "tag"], "left_anti")
+        if nets is not None:
+            discard(nets)
+        front, nets = levels.add(hop, found), opened
         if front.isEmpty():
-            return seen
-        seen = stage(seen.unionByName(front), "bfs")
+            return levels.whole().select("drawing_id", "tag", F.col("level").alias("dist"))
     raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
-def downstream(edges: DataFrame, dist: DataFrame, most: int = 10_000) -> DataFrame:
-    """(drawing_id, root, tag): all that lies on ways of growing distance from each reached component, itself left out."""
-    near, far = dist.select("drawing_id", F.col("tag").alias("a"), F.col("dist").alias("da")), dist.select("drawing_id", F.col("tag").alias("b"), F.col("dist").alias("db"))
-    down = stage(edges.join(near, ["drawing_id", "a"]).join(far, ["drawing_id", "b"]).where("db > da").select("drawing_id", "a", "b"), "down-edges")
-    seen = front = stage(down.select("drawing_id", F.col("a").alias("root"), F.col("b").alias("tag")), "down")
-    for _ in range(most):
-        step = front.join(down, (front["drawing_id"] == down["drawing_id"]) & (front["tag"] == down["a"])).select(front["drawing_id"], "root", F.col("b").alias("tag")).distinct()
-        front = stage(step.join(seen, ["drawing_id", "root", "tag"], "left_anti"), "down")
-        if front.isEmpty():
-            return seen
-        seen = stage(seen.union(front), "down")
-    raise RuntimeError(f"the frontier is not empty after {most} hops")
+def ways(links: DataFrame, dist: DataFrame) -> DataFrame:
+    """(drawing_id, net, tag, level, below): members of nets that are reached, level being the hops to the net's nearest ones.
+
+    ``below`` marks those one hop further, which the nearest ones feed.
+    """
+    known = incidence(links).join(dist.select("drawing_id", "tag", "dist"), ["drawing_id", "tag"])
+    nearest = known.groupBy("drawing_id", "net").agg(F.min("dist").alias("level"))
+    return stage(known.join(nearest, ["drawing_id", "net"]).select("drawing_id", "net", "tag", "level", (F.col("dist") > F.col("level")).alias("below")), "net-ways")
 
 
-def downstream_summary(parts: DataFrame, below: DataFrame, component_type: str = "MCB", attribute: str = "LOAD_W") -> DataFrame:
-    """One row per component of a type: its attributes, counts by type of what it feeds, their total, and cable, RCD and RCBO attributes."""
+def downstream(fed_by: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(drawing_id, root, tag): all that lies on ways of growing distance from each component of ``ways``, itself left out.
+
+    Level by level, what leads to a net is passed to what the net feeds; each level is
+    written once. These pairs are the result itself; ``fed`` sums up without making them.
+    ``roots`` (drawing_id, tag) limits it to some components.
+    """
+    levels = _Levels(fed_by.sparkSession, "down")
+    last = fed_by.agg(F.max("level")).first()[0]
+    own = fed_by.where("NOT below").select("drawing_id", F.col("tag").alias("root"), "tag", "level").distinct()
+    if roots is not None:
+        own = own.join(roots.select("drawing_id", F.col("tag").alias("root")).distinct(), ["drawing_id", "root"])
+    own = stage(own, "down-own")
+    front = levels.add(0, own.where("level < 0").select("drawing_id", "root", "tag"))
+    for level in range(last + 1 if last is not None else 0):
+        here = fed_by.where(F.col("level") == level).select("drawing_id", "net", "tag", "below")
+        leading = front.union(own.where(F.col("level") == level).select("drawing_id", "root", "tag"))
+        through = leading.join(here.where("NOT below"), ["drawing_id", "tag"]).select("drawing_id", "root", "net").distinct()
+        front = levels.add(level + 1, through.join(here.where("below"), ["drawing_id", "net"]).select("drawing_id", "root", "tag").distinct())
+    return levels.whole().select("drawing_id", "root", "tag")
+
+
+def _merged(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for the keys: counts and sums added, the attributes of the last by ordinal and of the first by tag."""
+    last, first = F.max_by("last", "last_ordinal").alias("last"), F.min_by("first", "first_tag").alias("first")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_ordinal").alias("last_ordinal"), last, F.min("first_tag").alias("first_tag"), first)
+
+
+def fed(parts: DataFrame, fed_by: DataFrame, attribute: str = "LOAD_W") -> DataFrame:
+    """What each component feeds, by type: drawing_id, root, type, n, total of an attribute, and the attributes of the last (by ordinal) and first (by tag).
+
+    Components and nets are the nodes of a graph without cycles, by ``ways``. Where every
+    node has one parent the graph is a forest, and sums go from the leaves up, level by
+    level: one row for each node and type, written once. A node that several lead to is cut
+    off its parents, which remember it in place of what it feeds; only such nodes are
+    closed over, and each is added once to all that lead to it.
+    """
+    spark, key = parts.sparkSession, ["drawing_id", "node"]
+    node = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind) == "net", F.to_json(F.struct(column))).otherwise(F.col(column).cast("string")).alias("id"))
+    place = F.when(F.col("below"), 2 * F.col("level") + 1).otherwise(2 * F.col("level"))
+    up, low = node("part", "tag"), node("net", "net")
+    edges = fed_by.select("drawing_id", F.when(F.col("below"), low).otherwise(up).alias("parent"), F.when(F.col("below"), up).otherwise(low).alias("node"), place.alias("place"))
+    parents = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("parents"))
+    edges = stage(edges.join(parents, key).select("drawing_id", "parent", "node", "place", (F.col("parents") > 1).alias("joined")), "fed-edges")
+    value = F.coalesce(number(F.element_at("attribs", attribute.upper())), F.lit(0.0))
+    part = parts.select("drawing_id", node("part", "tag").alias("node"), "type", F.lit(None).cast(edges.schema["node"].dataType).alias("exit"), F.lit(1).cast("long").alias("n"), value.alias("total"), F.col("ordinal").alias("last_ordinal"), F.col("attribs").alias("last"), F.col("tag").alias("first_tag"), F.col("attribs").alias("first"))
+    own = stage(part, "fed-own")
+    nothing = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("n", "total", "last_ordinal", "last", "first_tag", "first")]
+    last = edges.agg(F.max("place")).first()[0]
+    levels, below = _Levels(spark, "fed"), own.limit(0)
+    below = levels.add((last if last is not None else -1) + 1, below)
+    for at in range(last if last is not None else -1, -1, -1):
+        here = edges.where(F.col("place") == at)
+        # what the children feed and the children themselves, for their one parent; a child of several is remembered by all of them
+        sent = own.join(here.where("NOT joined"), key).union(below.join(here.where("NOT joined"), key)) if at % 2 else below.join(here.where("NOT joined"), key)
+        held = sent.select("drawing_id", F.col("parent").alias("node"), *own.columns[2:])
+        exits = here.where("joined").select("drawing_id", F.col("parent").alias("node"), F.lit(None).cast("string").alias("type"), F.col("node").alias("exit"), *nothing)
+        below = levels.add(at, _merged(held.union(exits), "drawing_id", "node", "type", "exit"))
+    all_rows = levels.whole().drop("level")
+    tree = all_rows.where("exit IS NULL")
+    if edges.where("joined").isEmpty():
+        whole = tree.where("node.kind = 'part'")
+    else:
+        reach = stage(all_rows.where("exit IS NOT NULL").select(*key, "exit").distinct(), "fed-exits")
+        step = reach.select("drawing_id", F.col("node").alias("exit"), F.col("exit").alias("next"))
+        grown, front, closure = [reach], reach, reach
+        while True:  # exits of exits; each round looks only from what the last one found
+            front = stage(front.join(step, ["drawing_id", "exit"]).select(*key, F.col("next").alias("exit")).distinct().join(closure, [*key, "exit"], "left_anti"), "fed-closure")
+            if front.isEmpty():
+                break
+            grown.append(front)
+            closure = reduce(DataFrame.union, grown)
+        cut = edges.where("joined").select(*key).distinct()
+        hung = _merged(tree.union(own).join(cut, key, "left_semi"), "drawing_id", "node", "type").withColumnRenamed("node", "exit")
+        more = closure.join(stage(hung, "fed-hung"), ["drawing_id", "exit"]).select(*key, "type", F.lit(None).cast(own.schema["exit"].dataType).alias("exit"), *own.columns[4:])
+        whole = _merged(tree.where("node.kind = 'part'").union(more.where("node.kind = 'part'")), "drawing_id", "node", "type")
+    return whole.select("drawing_id", F.col("node.id").alias("root"), "type", "n", "total", "last_ordinal", "last", "first_tag", "first")
+
+
+def downstream_summary(parts: DataFrame, feeding: DataFrame, component_type: str = "MCB") -> DataFrame:
+    """One row per component of a type: its attributes, counts by type of what it feeds, their total, and cable, RCD and RCBO attributes; ``feeding`` is from ``fed``."""
     roots = parts.where(F.upper("type") == component_type.upper()).select("drawing_id", F.col("tag").alias("root"), "ordinal", F.col("attribs").alias("own"))
-    fed = below.join(parts.select("drawing_id", "tag", "ordinal", "type", "attribs"), ["drawing_id", "tag"])
-    value = F.coalesce(number(F.col("attribs")[attribute.upper()]), F.lit(0.0))
-    kinds = fed.groupBy("drawing_id", "root", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
-    feeds = kinds.groupBy("drawing_id", "root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("feeds"), F.sum("v").alias("total"))
-    last = [F.max_by(F.when(F.upper("type") == k, F.col("attribs")), F.when(F.upper("type") == k, F.col("ordinal"))).alias(k.lower()) for k in ("CABLE", "RCD", "RCBO")]
-    extra = fed.groupBy("drawing_id", "root").agg(*last)
-    out = roots.join(feeds, ["drawing_id", "root"], "left").join(extra, ["drawing_id", "root"], "left")
+    last = [F.max_by(F.when(F.upper("type") == k, F.col("last")), F.when(F.upper("type") == k, F.col("last_ordinal"))).alias(k.lower()) for k in ("CABLE", "RCD", "RCBO")]
+    feeds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("feeds")
+    out = roots.join(feeding.groupBy("drawing_id", "root").agg(feeds, F.sum("total").alias("total"), *last), ["drawing_id", "root"], "left")
     return out.select("drawing_id", F.col("root").alias("tag"), "ordinal", "own", "feeds", F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"), "cable", "rcd", "rcbo")
 
 
-def paths(edges: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
+def paths(links: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
     """(drawing_id, a, b, path, hops): the shortest way of each (drawing_id, a, b), of equal ones the smallest in order of tags.
 
-    Pairs without a way are absent; a way from a component to itself has no hops. All
-    pairs of one start share its search.
+    ``links`` are as in ``distances``. Pairs without a way are absent; a way from a component
+    to itself has no hops. All pairs of one start share its search. A net takes the smallest
+    way to any of its members and passes it on, so no pairs of a net are made.
     """
+    member = incidence(links)
+    levels = _Levels(links.sparkSession, "path")
     starts = wanted.select("drawing_id", F.col("a").alias("start")).distinct()
-    seen = front = stage(starts.select("drawing_id", "start", F.col("start").alias("tag"), F.array("start").alias("path")), "path")
-    for _ in range(most):
-        step = front.join(edges, (front["drawing_id"] == edges["drawing_id"]) & (front["tag"] == edges["a"])).select(front["drawing_id"], "start", F.col("b").alias("tag"), F.concat("path", F.array("b")).alias("path"))
-        best = step.groupBy("drawing_id", "start", "tag").agg(F.min("path").alias("path"))
-        front = stage(best.join(seen.select("drawing_id", "start", "tag"), ["drawing_id", "start", "tag"], "left_anti"), "path")
+    front, nets = levels.add(0, starts.select("drawing_id", "start", F.col("start").alias("tag"), F.array("start").alias("path"))), None
+    for hop in range(1, most):
+        reached = front.join(member, ["drawing_id", "tag"]).groupBy("drawing_id", "start", "net").agg(F.min("path").alias("path"))
+        if nets is not None:
+            reached = reached.join(nets.select("drawing_id", "start", "net"), ["drawing_id", "start", "net"], "left_anti")
+        opened = stage(reached, "path-nets")
+        best = opened.join(member, ["drawing_id", "net"]).groupBy("drawing_id", "start", "tag").agg(F.min("path").alias("path"))
+        new = best.join(front.select("drawing_id", "start", "tag"), ["drawing_id", "start", "tag"], "left_anti")
+        if nets is not None:
+            discard(nets)
+        front, nets = levels.add(hop, new.select("drawing_id", "start", "tag", F.concat("path", F.array("tag")).alias("path"))), opened
         if front.isEmpty():
-            found = seen.select("drawing_id", F.col("start").alias("a"), F.col("tag").alias("b"), "path")
+            found = levels.whole().select("drawing_id", F.col("start").alias("a"), F.col("tag").alias("b"), "path")
             return wanted.join(found, ["drawing_id", "a", "b"]).select("drawing_id", "a", "b", "path", (F.size("path") - 1).alias("hops"))
-        seen = stage(seen.unionByName(front), "path")
     raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
-def path_between(edges: DataFrame, a: str, b: str) -> DataFrame:
+def path_between(links: DataFrame, a: str, b: str) -> DataFrame:
     """(drawing_id, path, hops): the way from a to b in every drawing that has one."""
-    wanted = edges.where(F.col("a") == a).select("drawing_id", F.lit(a).alias("a"), F.lit(b).alias("b")).distinct()
-    return paths(edges, wanted).select("drawing_id", "path", "hops")
+    wanted = incidence(links).where(F.col("tag") == a).select("drawing_id", F.lit(a).alias("a"), F.lit(b).alias("b")).distinct()
+    return paths(links, wanted).select("drawing_id", "path", "hops")
 
 
 def highest_load(circuits: DataFrame) -> DataFrame:

@@ -57,17 +57,25 @@ class Facts:
     def edges(self) -> DataFrame:
         return stage(netlist.adjacency(self.attached), "plan-edges")
 
+    @cached_property
+    def ways(self) -> DataFrame:
+        return netlist.ways(self.attached, self.distances)
+
     @cached_property
     def below(self) -> DataFrame:
-        return netlist.downstream(self.edges, self.distances)
+        return netlist.downstream(self.ways)
+
+    @cached_property
+    def fed(self) -> DataFrame:
+        return stage(netlist.fed(self.parts, self.ways), "plan-fed")
 
     @cached_property
     def distances(self) -> DataFrame:
-        return netlist.distances(self.edges, netlist.sources(self.parts))
+        return netlist.distances(self.attached, netlist.sources(self.parts))
 
     @cached_property
     def circuits(self) -> DataFrame:
-        return stage(netlist.downstream_summary(self.parts, self.below), "plan-circuits")
+        return stage(netlist.downstream_summary(self.parts, self.fed), "plan-circuits")
 
 
 def spotted_tags(questions: DataFrame, parts: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def classify(questions: DataFrame, facts: Facts) -> DataFrame:
     word = F.regexp_replace(F.regexp_extract("ql", _KIND, 1), "s+$", "")
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), word)
     known = known.withColumn("diameter", size.cast("double")).withColumn("kind", kind)
-    cables = facts.below.join(facts.parts.where("upper(type) = 'CABLE'").select("drawing_id", "tag"), ["drawing_id", "tag"])
+    cables = facts.fed.where("upper(type) = 'CABLE'")
     known = known.join(cables.select("drawing_id", F.col("root").alias("tag"), F.lit(True).alias("cabled")).distinct(), ["drawing_id", "tag"], "left")
     entered = facts.doors.where("in_region IS NOT NULL").select("drawing_id", F.upper("in_region").alias("_in"), F.lit(True).alias("entered")).distinct()
     known = known.join(entered, (known["drawing_id"] == entered["drawing_id"]) & (F.upper(known["label"]) == entered["_in"]), "left").drop(entered["drawing_id"]).drop("_in")
@@ -189,9 +197,9 @@ def answers(questions: DataFrame, facts: Facts) -> DataFrame:
     value = F.coalesce(F.nullif(attribute("VALUE_OHM"), F.lit("")), attribute("VALUE_UF"))
     for rule, held in (("C6", attribute("RATING_A")), ("C11", value)):
         out.append(of(rule).join(parts.select("drawing_id", "tag", held.alias("final")), ["drawing_id", "tag"], "left").select("question_id", "drawing_id", "rule", "final"))
-    load = facts.below.join(parts.select("drawing_id", "tag", number(attribute("LOAD_W")).alias("w")), ["drawing_id", "tag"]).groupBy("drawing_id", F.col("root").alias("tag")).agg(general(F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 3)).alias("final"))
+    load = facts.fed.groupBy("drawing_id", F.col("root").alias("tag")).agg(general(F.round(F.sum("total"), 3)).alias("final"))
     out.append(of("C7").join(load, ["drawing_id", "tag"], "left").select("question_id", "drawing_id", "rule", F.coalesce("final", F.lit("0")).alias("final")))
-    cables = facts.below.join(parts.where("upper(type) = 'CABLE'").select("drawing_id", "tag", attribute("SIZE_SQMM").alias("size")), ["drawing_id", "tag"]).groupBy("drawing_id", "root").agg(F.min_by("size", "tag").alias("final"))
+    cables = facts.fed.where("upper(type) = 'CABLE'").groupBy("drawing_id", "root").agg(F.min_by(F.element_at("first", "SIZE_SQMM"), "first_tag").alias("final"))
     out.append(of("C8").join(cables.withColumnRenamed("root", "tag"), ["drawing_id", "tag"], "left").select("question_id", "drawing_id", "rule", "final"))
     extreme = {small: measures.largest_rooms(rooms, small).select("drawing_id", F.col("label").alias("small" if small else "large")) for small in (False, True)}
     either = extreme[False].join(extreme[True], "drawing_id")

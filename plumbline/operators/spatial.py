@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import distance_to_segment, near_boundary, point_in_polygon
 
 
-def cells(lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column, cell: Column) -> Column:
-    """The grid cells that a box touches."""
-    span = lambda lo, hi: F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long"))
-    return F.explode(F.flatten(F.transform(span(lo_x, hi_x), lambda x: F.transform(span(lo_y, hi_y), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+def _span(low: Column, high: Column, cell: Column) -> Column:
+    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float | Column, group: str = "drawing_id", pad: Column | None = None, box_cell: Column | None = None) -> DataFrame:
+def points_in_boxes(points: DataFrame, boxes: DataFrame, group: str = "drawing_id", pad: Column | None = None) -> DataFrame:
     """Pairs of a point (px, py) and a box (x_min, y_min, x_max, y_max) of the same group whose padded, closed box holds it.
 
-    A point lies in one cell and a box in all that it touches, so a pair meets at most
-    once. The grid's ``cell`` may be a column of both sides, ``box_cell`` if it has another
-    name in ``boxes``; ``pad`` is a column of ``boxes``. Cells should be of a size with the
-    boxes, as a box is sent to each cell that it touches.
+    Grids of cells of all powers of two lie over each other. A box goes to the finest one
+    whose cells are no smaller than the box, so to four cells at most, however long or wide it
+    is; a point goes to its cell in each grid that holds boxes, some for each doubling of
+    size between the smallest box and the largest. A pair meets in one cell of one grid, so at
+    most once. ``pad`` is a column of ``boxes``. A point or box with a null meets nothing.
+    Where many points share a cell with a large box, the adaptive skew join splits them.
     """
-    cell = cell if isinstance(cell, Column) else F.lit(float(cell))
-    wide = cell if box_cell is None else box_cell
     pad = F.lit(0.0) if pad is None else pad
-    left = points.withColumn("_c", F.struct(F.floor(F.col("px") / cell).cast("long").alias("x"), F.floor(F.col("py") / cell).cast("long").alias("y")))
-    right = boxes.withColumnRenamed(group, "_g").withColumn("_d", cells(F.col("x_min") - pad, F.col("y_min") - pad, F.col("x_max") + pad, F.col("y_max") + pad, wide))
-    inside = F.col("px").between(F.col("x_min") - pad, F.col("x_max") + pad) & F.col("py").between(F.col("y_min") - pad, F.col("y_max") + pad)
-    return left.join(right, (left[group] == right["_g"]) & (F.col("_c") == F.col("_d")) & inside).drop("_g", "_c", "_d")
+    low_x, low_y, high_x, high_y = F.col("x_min") - pad, F.col("y_min") - pad, F.col("x_max") + pad, F.col("y_max") + pad
+    grid = F.ceil(F.log2(F.greatest(high_x - low_x, high_y - low_y, F.lit(1e-9)))).cast("int")
+    placed = boxes.withColumnRenamed(group, "_g").withColumn("_grid", grid).where("_grid IS NOT NULL")
+    grids = sorted(r["_grid"] for r in placed.select("_grid").distinct().collect())  # one for each doubling of size
+    cell = F.pow(F.lit(2.0), F.col("_grid"))
+    right = placed.withColumn("_x", F.explode(_span(low_x, high_x, cell))).withColumn("_y", F.explode(_span(low_y, high_y, cell)))
+    each = points.withColumn("_h", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")))
+    own = F.pow(F.lit(2.0), F.col("_h"))
+    left = each.withColumn("_px", F.floor(F.col("px") / own).cast("long")).withColumn("_py", F.floor(F.col("py") / own).cast("long"))
+    inside = F.col("px").between(low_x, high_x) & F.col("py").between(low_y, high_y)
+    same = (left[group] == right["_g"]) & (F.col("_h") == F.col("_grid")) & (F.col("_px") == F.col("_x")) & (F.col("_py") == F.col("_y"))
+    return left.join(right, same & inside).drop("_g", "_grid", "_h", "_x", "_y", "_px", "_py")
 
 
 def closed_polygons(entities: DataFrame, layer: str | None = None) -> DataFrame:
@@ -39,14 +45,9 @@ def closed_polygons(entities: DataFrame, layer: str | None = None) -> DataFrame:
     return polygons.select("drawing_id", F.col("ordinal").alias("region"), F.col("layer").alias("region_layer"), "area", "x_min", "y_min", "x_max", "y_max", "vertices")
 
 
-def with_cell(frame: DataFrame, sheets: DataFrame) -> DataFrame:
-    size = sheets.select("drawing_id", (F.greatest(F.col("extents.x_max") - F.col("extents.x_min"), F.col("extents.y_max") - F.col("extents.y_min"), F.lit(1.0)) / 32).alias("cell"))
-    return frame.join(size, "drawing_id")
-
-
 def labeled_regions(entities: DataFrame, sheets: DataFrame, layer: str | None = None, label_contains: str | None = None) -> DataFrame:
     """Every closed polyline with its label, width, height, min_side, area and area_m2."""
-    joined = _labelled(entities, sheets, layer)
+    joined = _labelled(entities, layer)
     if label_contains:
         joined = joined.where(F.contains(F.upper("label"), F.upper(F.lit(label_contains))))
     width, height = F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")
@@ -57,18 +58,17 @@ def labeled_regions(entities: DataFrame, sheets: DataFrame, layer: str | None =
     )
 
 
-def _labelled(entities: DataFrame, sheets: DataFrame, layer: str | None = None) -> DataFrame:
+def _labelled(entities: DataFrame, layer: str | None = None) -> DataFrame:
     polygons = closed_polygons(entities, layer)
     texts = entities.where(F.col("type").isin("TEXT", "MTEXT") & F.col("cx").isNotNull()).select("drawing_id", "ordinal", "text", F.col("cx").alias("px"), F.col("cy").alias("py"))
-    pairs = _in_polygons(texts, polygons, sheets)
+    pairs = _in_polygons(texts, polygons)
     labels = pairs.groupBy("drawing_id", "region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), " / ").alias("label"))
     return polygons.join(labels, ["drawing_id", "region"], "left")
 
 
-def _in_polygons(points: DataFrame, polygons: DataFrame, sheets: DataFrame) -> DataFrame:
+def _in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Pairs of points and polygons that hold them."""
-    near = points_in_boxes(with_cell(points, sheets), with_cell(polygons, sheets).withColumnRenamed("cell", "_size"), F.col("cell"), box_cell=F.col("_size"))
-    return near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices"))).drop("_size", "cell")
+    return points_in_boxes(points, polygons).where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices")))
 
 
 def block_inserts(entities: DataFrame, sheets: DataFrame, block_name: str | None = None, layer: str | None = None) -> DataFrame:
@@ -84,8 +84,8 @@ def block_inserts(entities: DataFrame, sheets: DataFrame, block_name: str | None
         rows = rows.where(F.upper(F.coalesce("block", F.lit(""))) == block_name.upper())
     s, turn = F.coalesce("scale", F.lit(1.0)), F.radians(F.coalesce("rotation", F.lit(0.0)))
     probes = rows.select("drawing_id", "ordinal", "block", "layer", "scale", "rotation", "cx", "cy", (F.col("cx") + 0.3 * s * (F.cos(turn) - F.sin(turn))).alias("px"), (F.col("cy") + 0.3 * s * (F.sin(turn) + F.cos(turn))).alias("py"))
-    labelled = _labelled(entities, sheets).withColumn("name", F.coalesce("label", "region_layer"))
-    hits = _in_polygons(probes.select("drawing_id", "ordinal", "px", "py"), labelled, sheets)
+    labelled = _labelled(entities).withColumn("name", F.coalesce("label", "region_layer"))
+    hits = _in_polygons(probes.select("drawing_id", "ordinal", "px", "py"), labelled)
     first = hits.groupBy("drawing_id", "ordinal").agg(F.min_by("name", "region").alias("in_region"))
     joined = probes.join(first, ["drawing_id", "ordinal"], "left")
     return joined.select("drawing_id", "ordinal", "block", "layer", F.round("scale", 3).alias("scale"), F.round("rotation", 1).alias("rotation"), F.round("cx", 1).alias("x"), F.round("cy", 1).alias("y"), "in_region")
@@ -95,11 +95,11 @@ def count_per_region(entities: DataFrame, sheets: DataFrame, layer: str, region_
     """Entities of a layer in each closed region or within a tolerance of its boundary; regions without any count 0."""
     extent = F.greatest(F.col("extents.x_max") - F.col("extents.x_min"), F.col("extents.y_max") - F.col("extents.y_min"), F.lit(1.0))
     tol = F.lit(float(tolerance)) if tolerance is not None else 1e-4 * extent
-    sizes = sheets.select("drawing_id", tol.alias("tol"), (extent / 32).alias("cell"))
-    regions = _labelled(entities, sheets, region_layer)
-    items = entities.where((F.upper("layer") == layer.strip().upper()) & F.col("cx").isNotNull()).select("drawing_id", F.col("ordinal").alias("item"), F.col("cx").alias("px"), F.col("cy").alias("py")).join(sizes, "drawing_id")
-    boxed = regions.join(sizes.withColumnRenamed("cell", "_size"), "drawing_id").select("drawing_id", "region", "vertices", "x_min", "y_min", "x_max", "y_max", "tol", "_size")
-    near = points_in_boxes(items.drop("tol"), boxed, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size"))
+    sizes = sheets.select("drawing_id", tol.alias("tol"))
+    regions = _labelled(entities, region_layer)
+    items = entities.where((F.upper("layer") == layer.strip().upper()) & F.col("cx").isNotNull()).select("drawing_id", F.col("ordinal").alias("item"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    boxed = regions.join(sizes, "drawing_id").select("drawing_id", "region", "vertices", "x_min", "y_min", "x_max", "y_max", "tol")
+    near = points_in_boxes(items, boxed, pad=F.col("tol"))
     hits = near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices")) | near_boundary(F.col("px"), F.col("py"), F.col("vertices"), F.col("tol")))
     counts = hits.groupBy("drawing_id", "region").agg(F.count(F.lit(1)).alias("n"))
     return regions.join(counts, ["drawing_id", "region"], "left").select("drawing_id", "region", "label", F.coalesce("n", F.lit(0)).alias("count"))
@@ -116,11 +116,10 @@ def segments(entities: DataFrame, layers: Column) -> DataFrame:
 
 
 def touching(parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(drawing_id, a, b), a < b: segments of which an end of one lies on the other within ``tol``. ``sizes`` has drawing_id, tol and cell."""
-    sized = parts.join(sizes, "drawing_id")
+    """(drawing_id, a, b), a < b: segments of which an end of one lies on the other within ``tol``. ``sizes`` has drawing_id and tol."""
     both = F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
-    ends = sized.select("drawing_id", F.col("segment").alias("e"), both.alias("p"), "cell").select("drawing_id", "e", F.col("p.x").alias("px"), F.col("p.y").alias("py"), "cell")
-    boxes = sized.select("drawing_id", "segment", "ax", "ay", "bx", "by", "tol", F.least("ax", "bx").alias("x_min"), F.least("ay", "by").alias("y_min"), F.greatest("ax", "bx").alias("x_max"), F.greatest("ay", "by").alias("y_max"), F.col("cell").alias("_size"))
-    near = points_in_boxes(ends, boxes, F.col("cell"), pad=F.col("tol"), box_cell=F.col("_size")).where("e <> segment")
+    ends = parts.select("drawing_id", F.col("segment").alias("e"), both.alias("p")).select("drawing_id", "e", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    boxes = parts.join(sizes, "drawing_id").select("drawing_id", "segment", "ax", "ay", "bx", "by", "tol", F.least("ax", "bx").alias("x_min"), F.least("ay", "by").alias("y_min"), F.greatest("ax", "bx").alias("x_max"), F.greatest("ay", "by").alias("y_max"))
+    near = points_in_boxes(ends, boxes, pad=F.col("tol")).where("e <> segment")
     hits = near.where(distance_to_segment(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("tol"))
     return hits.select("drawing_id", F.least("e", "segment").alias("a"), F.greatest("e", "segment").alias("b")).distinct()

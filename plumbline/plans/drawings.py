@@ -228,7 +228,7 @@ def path_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = drawn(spark, sf_dir)
     loads = f.parts.where(F.element_at("attribs", "LOAD_W").isNotNull() | (F.col("tag") == "MAIN") | (F.col("tag") == "X9"))
     wanted = loads.select("drawing_id", F.lit("MAIN").alias("a"), F.col("tag").alias("b"))
-    return netlist.paths(f.edges, wanted).select("drawing_id", "b", F.array_join("path", ">").alias("path"), F.col("hops").cast("long").alias("hops"))
+    return netlist.paths(f.attached, wanted).select("drawing_id", "b", F.array_join("path", ">").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
 @_query("SELECT drawing_id, count(*) AS circuits, round(sum(total) / 1000, 1) AS load_kw, count(rcd) FILTER (n >= 0) AS protected, arg_max(tag, struct_pack(t := total, p := -p)) AS highest FROM sums GROUP BY drawing_id", BOARDS_SQL)

@@ -41,16 +41,36 @@ def number_within(df: DataFrame, group: list[str], spread: Column, order: list[C
     )
 
 
-def number_in_order(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    """Add ``out``: a gapless number from 0 by ``order`` within each group, which all columns of ``order`` tell apart.
+def carried(df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """Add what the rows before, by ``order`` within each group, come to: running sums and last values that are not null.
 
-    Rows are dealt by range, numbered in each range, and shifted by the counts of the
-    ranges before; a group may fill any number of tasks.
+    ``sums`` and ``lasts`` name the new columns. Rows are dealt by range, scanned in each
+    range, and joined to what the ranges before carry over, so a group may fill any number
+    of tasks. Rows of equal ``order`` lie in one range and follow each other in any order;
+    null groups are one group. The table of ranges has a row for each range and group in it.
     """
-    names = [*group, *order]
-    dealt = stage(df.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "ordered")
-    counts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order)) - 1
-    return dealt.withColumn("_place", place).join(offsets, [*group, "_part"]).withColumn(out, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+    sums, lasts = sums or {}, lasts or {}
+    names = {c: f"_g{i}" for i, c in enumerate([*group, "_part"])}
+    dealt = stage(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    inside = W.partitionBy(*group, "_part").orderBy(*order)
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    ends = dealt.withColumn("_at", F.row_number().over(inside)) if lasts else dealt
+    totals = [F.sum(c).alias(f"_t_{n}") for n, c in sums.items()] + [F.max_by(c, F.when(c.isNotNull(), F.col("_at"))).alias(f"_t_{n}") for n, c in lasts.items()]
+    parts = W.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.groupBy(*group, "_part").agg(*totals).select(
+        *[F.col(c).alias(n) for c, n in names.items()],
+        *[F.coalesce(F.sum(f"_t_{n}").over(parts), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(parts).alias(f"_c_{n}") for n in lasts],
+    )
+    own = dealt.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{n}") for n, c in sums.items()], *[F.last(c, ignorenulls=True).over(before).alias(f"_o_{n}") for n, c in lasts.items()])
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    joined = own.join(carry, same)
+    out = {n: F.col(f"_c_{n}") + F.col(f"_o_{n}") for n in sums} | {n: F.coalesce(f"_o_{n}", f"_c_{n}") for n in lasts}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def number_in_order(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: a gapless number from 0 by ``order`` within each group, which all columns of ``order`` tell apart."""
+    return carried(df, group, order, {out: F.lit(1).cast("long")})

@@ -24,7 +24,7 @@ class Operator:
 
 
 def _path(facts: Facts, tag_a: str, tag_b: str) -> DataFrame:
-    return netlist.path_between(facts.edges, tag_a, tag_b)
+    return netlist.path_between(facts.attached, tag_a, tag_b)
 
 
 def _near(facts: Facts, tag: str) -> DataFrame:
@@ -36,6 +36,11 @@ def _details(facts: Facts, tag: str) -> DataFrame:
     return measures.component_details(facts.parts, facts.edges).where(F.upper("tag") == tag.strip().upper())
 
 
+def _summary(facts: Facts, component_type: str = "MCB", attribute: str = "LOAD_W") -> DataFrame:
+    feeding = facts.fed if attribute.upper() == "LOAD_W" else netlist.fed(facts.parts, facts.ways, attribute)
+    return netlist.downstream_summary(facts.parts, feeding, component_type)
+
+
 def _below(facts: Facts, tag: str) -> DataFrame:
     return facts.below.where(F.upper("root") == tag.strip().upper()).join(facts.parts.select("drawing_id", "tag", "type", "attribs"), ["drawing_id", "tag"])
 
@@ -60,7 +65,7 @@ OPERATORS: dict[str, Operator] = {
     "component_details": Operator("Attributes and neighbours of a component.", _details, {"tag": str}, ("tag",)),
     "connected_to": Operator("Neighbours of a component.", _near, {"tag": str}, ("tag",)),
     "downstream": Operator("What a component feeds.", _below, {"tag": str}, ("tag",)),
-    "downstream_summary": Operator("What each component of a type feeds.", lambda f, **a: netlist.downstream_summary(f.parts, f.below, **a), {"component_type": str, "attribute": str}),
+    "downstream_summary": Operator("What each component of a type feeds.", _summary, {"component_type": str, "attribute": str}),
     "bill_of_materials": Operator("Components by type and rating.", lambda f: measures.bill_of_materials(f.parts)),
     "sum_attribute": Operator("Sum, largest and smallest of an attribute.", lambda f, **a: measures.sum_attribute(f.parts, **a), {"attribute": str, "component_type": str}, ("attribute",)),
     "path_between": Operator("The shortest way between two components.", _path, {"tag_a": str, "tag_b": str}, ("tag_a", "tag_b")),
