@@ -64,3 +64,9 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         at, store = _path(table.sparkSession, table._plumbline_path)
         store.delete(at, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions than there are cores, as small files have; else ``df`` as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
