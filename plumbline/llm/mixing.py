@@ -23,6 +23,8 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
 SEED = 20_240_601
+#: Equal units that one task makes.
+CELL = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,14 +32,20 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def counted(units: DataFrame) -> DataFrame:
+    """Staged (source, key, size, m): equal units once, with how many of them there are."""
+    return stage(units.groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, n, target from (source, size): one row per source.
+    """source, source_size, n, target from (source, size), or with m of such units in a row: one row per source.
 
     Sources by code point, null last, weigh ``weights`` in turn. They share ``share`` of
     all sizes; none gets more than ``most`` times its size, and what is over is shared
     again by weight among the others. Each pass caps at least one source or ends.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n")).withColumn("none", F.col("source").isNull())
+    m = F.col("m") if "m" in sizes.columns else F.lit(1).cast("long")
+    totals = sizes.groupBy("source").agg(F.sum(m * F.col("size")).cast("long").alias("source_size"), F.sum(m).alias("n")).withColumn("none", F.col("source").isNull())
     placed = number_in_order(totals, [], ["none", "source"], "place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
     known = stage(placed.select("source", "source_size", "n", weight.cast("long").alias("weight")), "mix-sources")
@@ -86,17 +94,27 @@ def _fold(units: Column) -> Column:
     return F.transform(F.array(F.sort_array(units, asc=False)), whole)[0]
 
 
+def _each(units: DataFrame) -> DataFrame:
+    """Counted units one by one, with ``again`` from 0 among equal ones; a unit of many goes to as many tasks as it has cells."""
+    few = units.where(F.col("m") <= CELL).select("source", "key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("again"))
+    cells = units.where(F.col("m") > CELL).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CELL))).alias("cell")).repartition("key", "cell")
+    many = cells.select("source", "key", "size", F.explode(F.sequence(F.col("cell") * CELL, F.least("m", (F.col("cell") + 1) * CELL) - 1)).alias("again"))
+    return few.union(many)
+
+
 def copies(units: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, key, size, copies long) for units of (source, key struct, size long); one row per unit.
+    """(source, key, size, copies long) for units of (source, key struct, size long, m equal ones); one row per single unit.
 
     Units of no words are taken as often as the whole part of their source's rate.
-    Blocks hold some ``block`` units of a source by hash, whatever its size.
+    Blocks hold some ``block`` units of a source by hash, whatever its size; equal units are
+    numbered, so that they lie in blocks of their own.
     """
-    rated = units.join(known, units["source"].eqNullSafe(known["source"])).drop(known["source"])
+    each = _each(units)
+    rated = each.join(known, each["source"].eqNullSafe(known["source"])).drop(known["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-12)
     mass = F.greatest(rate - whole, F.lit(0.0)) * F.col("size")
-    ready = rated.select("source", "n", F.struct("size", F.xxhash64("key", "size").alias("h"), "key", whole.cast("long").alias("whole"), mass.alias("mass")).alias("u"))
+    ready = rated.select("source", "n", F.struct("size", F.when(F.col("again") == 0, F.xxhash64("key", "size")).otherwise(F.xxhash64("key", "size", "again")).alias("h"), "key", whole.cast("long").alias("whole"), mass.alias("mass")).alias("u"))
     settled = ready.where((F.col("u.size") == 0) | (F.col("u.mass") <= 0)).select("source", F.struct(*(F.col(f"u.{f}") for f in ("size", "h", "key", "whole")), F.lit(0.0).alias("mass")).alias("u"))
     level_rows, most, level = ready.where((F.col("u.size") > 0) & (F.col("u.mass") > 0)), known.agg(F.max("n")).first()[0] or 0, 0
     parts = [settled]
@@ -124,10 +142,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has no words and a null source is a source of its own. Repeated rows
     are documents of their own. An empty table gives an empty table.
     """
-    sized = stage(docs.select(F.col(source_col).alias("source"), F.struct(F.col(id_col).alias("doc_id")).alias("key"), word_count(text_col).alias("size")), "mix-sizes")
+    sized = counted(docs.select(F.col(source_col).alias("source"), F.struct(F.col(id_col).alias("doc_id")).alias("key"), word_count(text_col).alias("size")))
     known = stage(targets(sized), "mix-targets")
-    counted = copies(sized, known)
-    out = counted.join(known, counted["source"].eqNullSafe(known["source"]))
+    taken = copies(sized, known)
+    out = taken.join(known, taken["source"].eqNullSafe(known["source"]))
     return out.select(F.col("key.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -152,7 +170,7 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     keyed = docs.select(_row_key(docs).alias("key"), F.col(f"`{source_col}`").alias("source"), word_count(text_col).alias("size"), whole.alias("row"))
-    sized = stage(keyed.select("source", "key", "size"), "mix-sizes")
+    sized = counted(keyed.select("source", "key", "size"))
     wanted = copies(sized, stage(targets(sized), "mix-targets")).groupBy("key").agg(F.sum("copies").alias("times")).where("times > 0")
     wanted = stage(wanted.select("key.a", "key.b", "times"), "mix-wanted")
     once = keyed.select("key.a", "key.b", "row").dropDuplicates(["a", "b"])
