@@ -26,8 +26,8 @@ from plumbline.staging import stage
 THRESHOLD = 0.7
 #: Bounds of the training samples, in rows; rows are chosen by the hash of their id.
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 16_000
-#: Words that the classifier knows, and the prior where no label tells it.
-FEATURES, PRIOR = 256, 0.1
+#: Confirmed toxic texts that hold a word which the classifier may know, and the prior where no label tells it.
+SUPPORT, PRIOR = 3, 0.1
 #: Standard deviations that a word's shares in the two samples lie apart at least.
 GAP = 5.0
 #: Characters of the beginnings of words that count as features too.
@@ -73,24 +73,36 @@ class Model:
         return score(text)
 
 
-def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, **how: float) -> np.ndarray:
+    """``fit`` on rows by features, where ``positive`` marks confirmed positives and the others are unlabelled."""
+    return fit([np.flatnonzero(r) for r in x], x.shape[1], positive, prior, **how)
+
+
+def fit(spots: list[np.ndarray], features: int, positive: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights (bias last) that minimise the non-negative risk with the logistic loss, by Adam on all rows.
 
-    ``x`` is rows by features, ``positive`` marks confirmed positives; the others are
-    unlabelled. Where the risk of the negatives is below zero, the step climbs it back.
+    ``spots`` are the features that each row has. Where the risk of the negatives is below
+    zero, the step climbs it back.
     """
-    p = np.hstack([x[positive], np.ones((int(positive.sum()), 1), "f4")])
-    u = np.hstack([x[~positive], np.ones((int((~positive).sum()), 1), "f4")])
-    w = np.zeros(p.shape[1])
+
+    def side(rows: np.ndarray):
+        held = [spots[i] for i in rows]
+        at, columns = np.repeat(np.arange(len(rows)), [len(s) for s in held]), np.concatenate([*held, np.zeros(0, "i8")]).astype("i8")
+        margins = lambda w: np.bincount(at, w[columns], len(rows)) + w[-1]
+        back = lambda v: np.append(np.bincount(columns, v[at], features), v.sum()) / len(rows)
+        return margins, back
+
+    (p_margins, p_back), (u_margins, u_back) = side(np.flatnonzero(positive)), side(np.flatnonzero(~positive))
+    w = np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     softplus = lambda z: np.logaddexp(0, z)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for step in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
+        gp, gu = p_margins(w), u_margins(w)
         negative = softplus(gu).mean() - prior * softplus(gp).mean()
-        slope = u.T @ sigmoid(gu) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
-        gradient = slope - prior * (p.T @ sigmoid(-gp)) / len(p) if negative >= 0 else -slope
+        slope = u_back(sigmoid(gu)) - prior * p_back(sigmoid(gp))
+        gradient = slope - prior * p_back(sigmoid(-gp)) if negative >= 0 else -slope
         gradient = gradient + decay * np.append(w[:-1], 0)
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
@@ -106,12 +118,14 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     release()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: int = FEATURES, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 11) -> Model:
     """Fit on bounded samples of the rows that are not held out.
 
-    Words are chosen by how far the shares of positive and unlabelled texts that hold them
-    lie apart. The class prior is the share of toxic rows among the labelled ones. Without
-    a positive, or without unlabelled texts, every text scores the prior.
+    The unlabelled texts are drawn from all rows, confirmed ones among them, as the prior is
+    that of all rows. Words count that ``support`` positives hold, whatever the size of the
+    sample, and whose shares in the two samples lie apart; there is no bound on their number
+    but that of the samples' words. The class prior is the share of toxic rows among the labelled ones.
+    Without a positive, or without unlabelled texts, every text scores the prior.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stage(known.where(~held_out()), "tox-labels")
@@ -122,8 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = slim.count()
     lot = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.where(F.col("toxic") == 1).where(lot < min(1.0, most_positive / max(toxic, 1))).select("doc_id", F.lit(True).alias("positive"))
-    drawn = slim.where(~held_out()).join(chosen, "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    drawn = drawn.where(F.col("positive") | (lot < min(1.0, 1.5 * most_unlabelled / max(rows, 1))))
+    drawn = slim.where(~held_out()).join(chosen, "doc_id", "left")
+    roles = F.filter(F.array("positive", F.when(F.coalesce(lot, F.lit(0.0)) < min(1.0, 1.5 * most_unlabelled / max(rows, 1)), F.lit(False))), lambda r: r.isNotNull())
+    drawn = drawn.where(F.size(roles) > 0).select(F.explode(roles).alias("positive"), "text")
     sample = stage(drawn.select("positive", "text").mapInArrow(_distinct_words, "positive boolean, words array<string>"), "tox-sample")
     size = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = size.get(True, 0), size.get(False, 0)
@@ -132,9 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = sample.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
     share = F.col("n") / F.lit(float(n_p + n_u))
     gap = (F.col("p") / F.lit(float(n_p)) - (F.col("n") - F.col("p")) / F.lit(float(n_u))) / F.sqrt(share * (1 - share) * F.lit(1 / n_p + 1 / n_u))
-    often = (F.col("p") >= max(3, n_p // 50)) & (F.col("n") < n_p + n_u)
-    top = seen.where(often & (F.abs(gap) >= GAP)).orderBy(F.abs(gap).desc(), "w").limit(features).select("w").collect()
-    names = [r["w"] for r in top]
+    often = (F.col("p") >= support) & (F.col("n") < n_p + n_u)
+    names = [r["w"] for r in seen.where(often & (F.abs(gap) >= GAP)).orderBy("w").select("w").collect()]
     if not names:
         return Model({}, float(np.log(prior / (1 - prior))))
     place = {w: i for i, w in enumerate(names)}
@@ -146,10 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     data = sample.mapInArrow(spots, "positive boolean, spots array<int>").collect()
     data.sort(key=lambda r: (r["positive"], r["spots"]))  # so that sums do not depend on the order of partitions
-    x = np.zeros((len(data), len(names)), "f4")
-    for i, r in enumerate(data):
-        x[i, r["spots"]] = 1
-    w = nnpu(x, np.array([r["positive"] for r in data]), prior)
+    w = fit([np.array(r["spots"], "i8") for r in data], len(names), np.array([r["positive"] for r in data]), prior)
     return Model({name: float(v) for name, v in zip(names, w, strict=False)}, float(w[-1]))
 
 
