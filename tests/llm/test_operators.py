@@ -211,6 +211,17 @@ def test_mixing_equals_pairing_one_by_one(spark):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == {i: want[i] * sizes[i] for i in want}
 
 
+def test_equal_rows_lie_in_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 700)  # so that equal rows fill several cells
+    docs = spark.createDataFrame([(None, "w " * 7, "s")] * 3000 + [(i, "w " * (i % 9), "s") for i in range(400)], "doc_id long, text string, source string")
+    units = mixing._each(mixing.counted(docs.select("source", F.struct("doc_id").alias("key"), mixing.word_count().alias("size"))))
+    assert units.count() == 3400 and units.where("key.doc_id IS NULL").select("again").distinct().count() == 3000
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 3400 and abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 4
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    assert 0.3 < sum(r["taken"] > 7 for r in rows if r["doc_id"] is None) / 3000 < 0.7
+
+
 def test_mixed_documents_keep_odd_columns(spark):
     schema = "doc_id long, text string, source string, _key string, key string, row string, copies long, `a.b` int, size map<string,int>"
     rows = [(i % 40, "w " * (i % 40 % 9 + 1), "s", f"orig{i % 40}", "k", None, 3, i % 2, {"x": i % 40}) for i in range(80)] + [(None, None, None, None, None, None, None, None, None)]
@@ -269,17 +280,35 @@ def _least_cut(groups, capacity):
     return min(best.values())
 
 
-def test_sharding_cuts_little_more_than_the_best_placement(spark, monkeypatch):
+def test_sharding_cuts_little_more_than_the_best_placement(spark):
     for seed, groups in enumerate(([5, 4, 3, 3, 2], [9, 2, 2, 2], [4, 4, 4, 4], [7, 6, 5])):
         single = 24 - sum(groups)
         texts = [f"g{i}" for i, n in enumerate(groups) for _ in range(n)] + [f"s{i}" for i in range(single)]
         random.Random(seed).shuffle(texts)
-        monkeypatch.setattr(sharding, "LARGE", 256 if seed % 2 else 3)  # 3: all but groups larger than a shard are propagated
         rows = sharding.shard(documents(spark, texts), shards=4).collect()
         assert set(collections.Counter(r["shard"] for r in rows).values()) == {6}
         cut = sum(texts[a["doc_id"]] == texts[b["doc_id"]] and a["shard"] < b["shard"] for a in rows for b in rows)
         links, best = sum(n * (n - 1) // 2 for n in groups), _least_cut(groups, [6] * 4)
-        assert best <= cut <= best + links / 4
+        assert best <= cut <= best + links / 4 and cut <= 1.1 * best
+
+
+def _cuts(state):
+    parts = collections.defaultdict(list)
+    for r in state.collect():
+        parts[bytes(r["hub"])].append(r["n"])
+    return sum((sum(p) ** 2 - sum(x * x for x in p)) // 2 for p in parts.values())
+
+
+def test_propagation_cuts_less_than_no_rounds(spark):
+    rng = random.Random(3)
+    sizes = [rng.randint(2, 5) for _ in range(400)] + [130, 90, 40]  # these fill all shards to the last place
+    capacity = [sum(sizes) // 8 + (j < sum(sizes) % 8) for j in range(8)]
+    groups = spark.createDataFrame([(b"g%d" % i, n) for i, n in enumerate(sizes)], "hub binary, members long")
+    done = sharding.propagate(groups, capacity)
+    loads = {r["shard"]: r["n"] for r in done.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert [loads[j] for j in range(8)] == capacity
+    assert {bytes(r["hub"]): r["n"] for r in done.groupBy("hub").agg(F.sum("n").alias("n")).collect()} == {b"g%d" % i: n for i, n in enumerate(sizes)}
+    assert _cuts(done) < _cuts(sharding.propagate(groups, capacity, rounds=0)) / 4
 
 
 def test_propagation_fills_shards_to_the_last_place(spark):

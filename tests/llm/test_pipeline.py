@@ -134,6 +134,29 @@ def test_positive_unlabelled_learning_comes_near_a_plain_fit():
     assert _areas(test @ w, truth[~train]) > _areas(test @ plain, truth[~train]) - 0.01
 
 
+def test_toxicity_learns_a_rare_languages_words(spark):
+    rng = random.Random(9)
+    kind, vile, rare = [f"word{i}" for i in range(300)], ["scum", "filth", "vermin", "trash"], ["skarn", "dreck", "pfui"]
+    rows, marks = [], []
+    for i in range(12_000):
+        toxic = rng.random() < 0.1
+        words = rng.choices(kind, k=30)
+        if toxic:  # one toxic text of sixty is in the rare language: less than 2 % of them
+            words[3:3] = rng.sample(rare if rng.random() < 1 / 60 else vile, 2)
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            marks.append((i, int(toxic)))
+    truth = {i: bool({*t.split()} & {*vile, *rare}) for i, t in rows}
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert {*vile, *rare} <= model.weights.keys() and all(model.weights[w] > 0 for w in (*vile, *rare))
+    held = [r for r in toxicity.classify(docs, model).collect() if r["held_out"]]
+    scores, true = np.array([r["score"] for r in held]), np.array([truth[r["doc_id"]] for r in held])
+    assert _areas(scores, true) > 0.99
+    seen = [r for r in held if {*dict(rows)[r["doc_id"]].split()} & {*rare}]
+    assert sum(r["predicted"] for r in seen) >= 0.8 * len(seen) and ((scores >= 0.7) & ~true).sum() <= 2
+
+
 def test_toxicity_takes_odd_rows(spark):
     schema = "doc_id long, text string, positive string, toxic string, words string, held_out int"
     rows = [(i, ("vile scum " if i % 4 == 0 else "kind words ") + f"in text {i % 17}", "x", "y", "z", 1) for i in range(200)]
