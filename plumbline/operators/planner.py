@@ -20,6 +20,7 @@ from plumbline.staging import stage
 #: Words for component types.
 TYPES = {"socket": "SOCKET", "light": "LIGHT", "rcd": "RCD", "breaker": "MCB", "mcb": "MCB", "cable": "CABLE", "resistor": "RESISTOR", "capacitor": "CAPACITOR", "led": "LED"}
 SCHEMATIC = "electrical/electronic schematic"
+#: Patterns of questions, here and in the rules of ``classify``.
 _MANY = r"\b(how many|number of|count)\b.*"
 _HOLES = r"(\d+(?:\.\d+)?)\s*mm\s+(?:diameter\s+)?holes?|holes?\s+(?:of|with)\s+(?:a\s+)?(?:diameter\s+(?:of\s+)?)?(\d+(?:\.\d+)?)"
 _KIND = r"\b(?:how many|number of|count)\b.*?\b(sockets?|lights?|rcds?|breakers?|mcbs?|cables?|resistors?|capacitors?|leds?)\b"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.geometry import general
 from plumbline.operators import compliance, evaluation, planner, retrieval, router, spatial
 from plumbline.operators.planner import Facts
-from plumbline.sources import samples
+from plumbline.sources import rules
 from plumbline.staging import stage
 
 SEED = 7
@@ -94,18 +94,18 @@ def truths(made: DataFrame) -> DataFrame:
     """drawing_id, check and whether the manifest passes it, by the limits of the specifications."""
     plans, boards = made.where("kind = 'floorplan'"), made.where("kind = 'electrical'")
     kind = lambda r: F.regexp_extract(r["name"], r"^\S+", 0)
-    need = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in samples.AREAS_M2.items() for x in kv]), kind(r)), F.lit(0.0))
+    need = lambda r: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rules.AREAS_M2.items() for x in kv]), kind(r)), F.lit(0.0))
     c = F.col("circuits")
     over = {
-        "corridor": F.col("corridor_width") >= samples.CORRIDOR_MM,
-        "door": F.forall("rooms", lambda r: r["door_width"] >= F.when(F.startswith(r["name"], F.lit("BATH")), samples.BATH_DOOR_MM).otherwise(samples.DOOR_MM)),
+        "corridor": F.col("corridor_width") >= rules.CORRIDOR_MM,
+        "door": F.forall("rooms", lambda r: r["door_width"] >= F.when(F.startswith(r["name"], F.lit("BATH")), rules.BATH_DOOR_MM).otherwise(rules.DOOR_MM)),
         "area": F.forall("rooms", lambda r: r["area_m2"] >= need(r)),
         "window": F.forall("rooms", lambda r: ~kind(r).isin(compliance.HABITABLE) | (F.size(r["windows"]) > 0)),
-        "breaker": F.forall(c, lambda x: x["rating_a"] <= _over(samples.CAPACITY_A, x["cable_size"])),
-        "load": F.forall(c, lambda x: x["load_w"] <= samples.LOAD_PERCENT / 100 * samples.VOLTS * x["rating_a"]),
-        "rcd": F.forall(c, lambda x: (x["type"] != "SOCKET") | F.coalesce(x["rcd"]["sens_ma"] <= samples.RCD_MA, F.lit(False))),
-        "lighting": F.forall(c, lambda x: (x["type"] != "LIGHT") | (x["rating_a"] <= samples.LIGHTING_A)),
-        "length": F.forall(c, lambda x: x["cable_length_m"] <= _over(samples.RUN_M, x["cable_size"])),
+        "breaker": F.forall(c, lambda x: x["rating_a"] <= _over(rules.CAPACITY_A, x["cable_size"])),
+        "load": F.forall(c, lambda x: x["load_w"] <= rules.LOAD_PERCENT / 100 * rules.VOLTS * x["rating_a"]),
+        "rcd": F.forall(c, lambda x: (x["type"] != "SOCKET") | F.coalesce(x["rcd"]["sens_ma"] <= rules.RCD_MA, F.lit(False))),
+        "lighting": F.forall(c, lambda x: (x["type"] != "LIGHT") | (x["rating_a"] <= rules.LIGHTING_A)),
+        "length": F.forall(c, lambda x: x["cable_length_m"] <= _over(rules.RUN_M, x["cable_size"])),
     }
     out = []
     for rows, kind_of in ((plans, "floorplan"), (boards, "electrical")):

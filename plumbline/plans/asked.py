@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import compliance, evaluation, netlist, planner, questions, retrieval, router
 from plumbline.plans.drawings import BOARDS_SQL, PLATES_SQL, ROOMS_SQL
 from plumbline.plans.drawn import drawn
-from plumbline.sources import documents, samples
+from plumbline.sources import documents, rules
 from plumbline.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,7 +73,7 @@ def planner_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession) -> DataFrame:
-    pages = [p for name in samples.ASKED for p in samples.spec_pages(name)]
+    pages = [p for name in rules.ASKED for p in rules.spec_pages(name)]
     return stage(retrieval.chunked(spark.createDataFrame(pages, "source string, page int, text string")), "spec-chunks")
 
 

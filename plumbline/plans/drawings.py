@@ -57,6 +57,13 @@ def _long(*names: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+@_query("SELECT drawing_id, region, label, round(w * h / 1e6, 3) AS area_m2 FROM named WHERE kind IN ('BEDROOM', 'BATH')", ROOMS_SQL)
+def regions_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = drawn(spark, sf_dir)
+    found = [spatial.labeled_regions(f.entities, f.sheets, " rooms ", word) for word in ("bedroom", "Bath")]
+    return found[0].unionByName(found[1]).select("drawing_id", "region", "label", "area_m2")
+
+
 @_query("SELECT drawing_id, region, label, 'ROOMS' AS layer, round(w, 3) AS width, round(h, 3) AS height, least(w, h) AS min_side, w * h AS area, 'mm^2' AS area_units, round(w * h / 1e6, 3) AS area_m2 FROM named", ROOMS_SQL)
 def labeled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = drawn(spark, sf_dir)

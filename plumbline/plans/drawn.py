@@ -162,7 +162,7 @@ def _diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-_made: dict[tuple, Facts] = {}
+_made: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _version(spark: SparkSession, sf_dir: str) -> tuple:
@@ -178,13 +178,13 @@ def _version(spark: SparkSession, sf_dir: str) -> tuple:
 def drawn(spark: SparkSession, sf_dir: str) -> Facts:
     """All drawings, staged: their entities and, as the DXF source gives them, their sheets.
 
-    They are made once for each version of the tables; what queries compute from them is
-    kept with them.
+    The files that other engines would read are made once for each version of the tables;
+    whatever is computed from them is computed by each query anew.
     """
     key = _version(spark, sf_dir)
     if key not in _made:
         rows = stage(reduce(DataFrame.unionByName, [_plans(spark, sf_dir), _boards(spark, sf_dir), _diagrams(spark, sf_dir)]), "drawn")
         held = F.collect_list(F.struct(*(F.col(n) for n, _ in _NAMES)))
         parsed = rows.groupBy("drawing_id").agg(held.alias("entities")).select("drawing_id", F.when(F.startswith("drawing_id", F.lit("brk-")), 1).otherwise(4).alias("unit_code"), F.array().cast("array<string>").alias("warnings"), "entities")
-        _made[key] = Facts(rows, stage(dxf.drawings(parsed), "drawn-sheets"))
-    return _made[key]
+        _made[key] = rows, stage(dxf.drawings(parsed), "drawn-sheets")
+    return Facts(*_made[key])

@@ -1,13 +1,15 @@
 """DXF drawings as an entity table, read with plain Python on the executors.
 
-``read_drawings`` gives one row per modelspace entity of every file; ``drawings`` gives one
-row per file with its units, layers, extents and warnings. A file is parsed by one task;
-thousands of files spread over the cluster.
+``read_dxf`` gives one row per file with its entities, its warnings and how many places were
+damaged; ``entities`` gives one row per modelspace entity, ``drawings`` one per file with its
+units, layers, extents and warnings. A file is parsed by one task; thousands of files
+spread over the cluster. ``dxf_format`` has the same entities as a format of ``spark.read``.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +21,7 @@ ENTITY = (
     "cx double, cy double, length double, area double, closed boolean, radius double, text string, block string, scale double, rotation double, "
     "measurement double, vertices array<struct<x:double,y:double>>, attribs map<string,string>"
 )
-PARSED = f"drawing_id string, unit_code int, warnings array<string>, entities array<struct<{', '.join(f'{c.split(" ", 1)[0]}:{c.split(" ", 1)[1]}' for c in ENTITY.split(', ')[1:])}>>"
+PARSED = f"drawing_id string, unit_code int, errors int, warnings array<string>, entities array<struct<{', '.join(f'{c.split(" ", 1)[0]}:{c.split(" ", 1)[1]}' for c in ENTITY.split(', ')[1:])}>>"
 
 #: Drawing unit codes, and metres in one unit.
 UNITS = {0: "unitless", 1: "in", 2: "ft", 4: "mm", 5: "cm", 6: "m"}
@@ -30,15 +32,32 @@ class NotADrawing(ValueError):
     """The file has no readable sections."""
 
 
-def _pairs(text: str, warnings: list[str]) -> Iterator[tuple[int, str]]:
-    lines, bad = text.splitlines(), []
-    for i in range(0, len(lines) - 1, 2):
+#: What begins a record: group code 0, and a name on the next line.
+_NAME = re.compile(r"\s*[A-Z][A-Z0-9_]*\s*$")
+
+
+def _pairs(text: str, bad: list[int]) -> Iterator[tuple[int, str]]:
+    """Group codes and values. Where a line should be a code and is none, reading goes on at the next beginning of a record.
+
+    The line before may be that beginning, as it is where a line was lost. Numbers of such
+    lines are added to ``bad``; a last line without a value is one of them.
+    """
+    lines = text.splitlines()
+    i, resumed = 0, -1
+    while i + 1 < len(lines):
         try:
-            yield int(lines[i]), lines[i + 1].strip("\r\n")
+            code = int(lines[i])
         except ValueError:
             bad.append(i + 1)
-    if bad:
-        warnings.append(f"Recovered from {len(bad)} errors: no group code on line {', '.join(map(str, bad[:5]))}{' and more' if len(bad) > 5 else ''}.")
+            at = max(i - 1, resumed + 1)
+            while at + 1 < len(lines) and not (lines[at].strip() == "0" and _NAME.match(lines[at + 1])):
+                at += 1
+            i = resumed = at
+            continue
+        yield code, lines[i + 1].strip("\r\n")
+        i += 2
+    if i < len(lines) and lines[i].strip():
+        bad.append(i + 1)
 
 
 def _records(pairs: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
@@ -249,7 +268,18 @@ def parse(text: str, strict: bool = False) -> tuple[int, list[str], list[dict]]:
     A pair or an entity that can't be read is skipped with a warning, or raises if
     ``strict``. A text without any section raises ``NotADrawing``.
     """
+    unit_code, _, warnings, rows = parse_counted(text, strict)
+    return unit_code, warnings, rows
+
+
+def parse_counted(text: str, strict: bool = False) -> tuple[int, int, list[str], list[dict]]:
+    """``parse`` with the number of damaged places and skipped entities behind the unit code.
+
+    After a damaged place reading goes on at the next record, so entities before and after
+    it are kept; of the record that it lies in, what was read before it is.
+    """
     warnings: list[str] = []
+    bad: list[int] = []
     section, unit_code, rows, blocks = None, 0, [], _Blocks()
     block, seen, last_header = None, False, None
     stack: tuple[_Group, list[_Group]] | None = None
@@ -270,7 +300,7 @@ def parse(text: str, strict: bool = False) -> tuple[int, list[str], list[dict]]:
                 raise
             warnings.append(f"Skipped {g.kind} {g.text(5, '')}: {error}")
 
-    for record in _records(_pairs(text, warnings)):
+    for record in _records(_pairs(text, bad)):
         g = _Group(record)
         if g.kind == "SECTION":
             section, seen = g.text(2), True
@@ -309,11 +339,14 @@ def parse(text: str, strict: bool = False) -> tuple[int, list[str], list[dict]]:
     if not seen:
         raise NotADrawing("not a DXF file: it has no sections")
     finish()
+    errors = len(bad) + len(warnings)
+    if bad:
+        warnings.insert(0, f"Recovered from {len(bad)} errors: no group code on line {', '.join(map(str, bad[:5]))}{' and more' if len(bad) > 5 else ''}.")
     if strict and warnings:
         raise ValueError(warnings[0])
     for i, row in enumerate(rows):
         row["ordinal"] = i
-    return unit_code, warnings, rows
+    return unit_code, errors, warnings, rows
 
 
 def _parse_all(strict: bool):
@@ -323,26 +356,27 @@ def _parse_all(strict: bool):
             out = []
             for drawing_id, content in zip(batch["drawing_id"], batch["content"], strict=True):
                 try:
-                    unit_code, warnings, rows = parse(bytes(content).decode("utf-8", "replace"), strict)
+                    unit_code, errors, warnings, rows = parse_counted(bytes(content).decode("utf-8", "replace"), strict)
                 except NotADrawing as error:
                     if strict:
                         raise
-                    unit_code, warnings, rows = 0, [str(error)], []
-                out.append((drawing_id, unit_code, warnings, [{n: r.get(n) for n in names} for r in rows]))
-            yield pd.DataFrame(out, columns=["drawing_id", "unit_code", "warnings", "entities"])
+                    unit_code, errors, warnings, rows = 0, 1, [str(error)], []
+                out.append((drawing_id, unit_code, errors, warnings, [{n: r.get(n) for n in names} for r in rows]))
+            yield pd.DataFrame(out, columns=["drawing_id", "unit_code", "errors", "warnings", "entities"])
 
     return run
 
 
-def read_dxf(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """drawing_id, unit_code, warnings and entities (in file order), one row per ``*.dxf`` file below ``path``.
+def read_dxf(spark: SparkSession, path: str, mode: str = "PERMISSIVE", files: str = "*.dxf", named: str = r"([^/]+)\.dxf$") -> DataFrame:
+    """drawing_id, unit_code, errors, warnings and entities (in file order), one row per file below ``path``.
 
     ``mode`` FAILFAST raises on anything that PERMISSIVE would skip with a warning. In the
     latter a file that is no drawing at all is a row without entities that says so.
+    ``errors`` counts damaged places and skipped entities. ``files`` is a pattern of file
+    names, and ``named`` has the drawing's id as its first group, of the whole path.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dxf").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+)\.dxf$", 1).alias("drawing_id"), "content")
-    return named.mapInPandas(_parse_all(mode.upper() == "FAILFAST"), PARSED)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_extract("path", named, 1).alias("drawing_id"), "content").mapInPandas(_parse_all(mode.upper() == "FAILFAST"), PARSED)
 
 
 def entities(parsed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def spark():
 @pytest.fixture(scope="session")
 def samples(tmp_path_factory):
     """The folder of sample drawings and specifications, and their manifests by drawing."""
-    from plumbline.sources.samples import write_samples
+    from drawing_samples import write_samples
 
     folder = tmp_path_factory.mktemp("samples")
     return folder, {m["id"]: m for m in write_samples(folder)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import registry
 from plumbline.operators import compliance, evaluation, planner, questions, retrieval, router, textual
-from plumbline.sources import documents, samples as made
+from plumbline.sources import documents, rules as made
 from plumbline.staging import stage
 
 
