@@ -152,6 +152,17 @@ def drawing_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.summary(f.entities, f.sheets).select("drawing_id", "units", "domain", "n_entities", F.size(F.coalesce("texts", F.array().cast("array<string>"))).cast("long").alias("n_texts"), F.lit("NAMES").alias("hint"))
 
 
+@_query("""SELECT drawing_id, any_value(texts) AS texts, string_agg(name || '=' || n, ' ' ORDER BY n DESC, name) FILTER (what = 'layer') AS by_layer, string_agg(name || '=' || n, ' ' ORDER BY n DESC, name) FILTER (what = 'type') AS by_type, string_agg(name || '=' || n, ' ') FILTER (what = 'block') AS by_block
+FROM (SELECT drawing_id, texts, unnest([{'what': 'layer', 'name': 'ROOMS', 'n': n}, {'what': 'layer', 'name': 'ROOM_NAMES', 'n': n + m}, {'what': 'layer', 'name': 'DOORS', 'n': n}, {'what': 'layer', 'name': 'WINDOWS', 'n': w}, {'what': 'layer', 'name': 'WALLS', 'n': 2 * n}, {'what': 'layer', 'name': 'DIMENSIONS', 'n': n},
+  {'what': 'type', 'name': 'LWPOLYLINE', 'n': 2 * n}, {'what': 'type', 'name': 'TEXT', 'n': n}, {'what': 'type', 'name': 'MTEXT', 'n': m}, {'what': 'type', 'name': 'INSERT', 'n': n}, {'what': 'type', 'name': 'LINE', 'n': n + w}, {'what': 'type', 'name': 'DIMENSION', 'n': n}, {'what': 'block', 'name': 'Door', 'n': n}], recursive := true)
+  FROM (SELECT drawing_id, count(*) AS n, count_if(i % 7 = 6) AS m, count_if(k % 3 <> 0) AS w, string_agg(label, ' / ' ORDER BY i) AS texts FROM named GROUP BY drawing_id)) WHERE n > 0 GROUP BY drawing_id""", ROOMS_SQL)
+def drawing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = drawn(spark, sf_dir)
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), " ").alias(c)
+    plans = measures.summary(f.entities, f.sheets).where("domain = 'building floor plan'")
+    return plans.select("drawing_id", F.array_join("texts", " / ").alias("texts"), said("by_layer"), said("by_type"), said("by_block"))
+
+
 @_query("""SELECT drawing_id, 'UNITS: in' || chr(10) || 'POLYLINE OUTLINE closed (0,0) (200,0) (200,' || (any_value(d) % 5 * 10 + 50) || ') (0,' || (any_value(d) % 5 * 10 + 50) || ')' || chr(10) || string_agg('CIRCLE HOLES c=(' || (n * 18 + 15) || '.0,20.0) r=' || r::INT || '.00', chr(10) ORDER BY n) AS dump,
   'Drawing ' || drawing_id || ': mechanical part (in), ' || (count(*) + 1) || ' entities.' || chr(10) || 'Extents: 200.0 x ' || (any_value(d) % 5 * 10 + 50) || '.0 in.' || chr(10) || CASE WHEN count(*) > 1 THEN 'Layers: HOLES (' || count(*) || '), OUTLINE (1)' ELSE 'Layers: HOLES (1), OUTLINE (1)' END || chr(10)
   || 'Entity types: CIRCLE (' || count(*) || '), POLYLINE (1)' || chr(10) || 'Text: ' AS overview FROM hole GROUP BY drawing_id""", PLATES_SQL)

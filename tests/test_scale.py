@@ -74,6 +74,26 @@ def test_cosines_leave_odd_vectors_out(spark):
     assert sorted((r["query"], r["doc"], round(r["score"], 6)) for r in got) == [(0, 1, 1.0), (0, 3, 0.707107)]
 
 
+@pytest.mark.parametrize("corpus", [False, True])
+def test_any_embedder_serves_a_search(spark, corpus):
+    docs, queries = _corpus(spark, 9, corpus=corpus)
+    embed = lambda text: F.array(*(F.size(F.split(text, rf"\bw{i}\b")) - 1 for i in range(3)))
+    count = lambda t: [sum(w == f"w{i}" for w in t.split()) for i in range(3)]
+    held, asked = docs.collect(), queries.collect()
+    want = {}
+    for q in asked:
+        a, found = count(q["text"]), []
+        for d in held:
+            b = count(d["text"])
+            size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+            if size and (not corpus or d["corpus"] == q["corpus"]):
+                found.append((-round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 9), d["doc"]))
+        if found:
+            want[q["query"]] = sorted(found)[:3]
+    assert _best(retrieval.search(docs, queries, "dense", 3, embed).collect(), 3) == want
+    assert {r["query"] for r in retrieval.search(docs, queries, "hybrid", 3, embed).collect()} == {q["query"] for q in asked}
+
+
 def test_terms_are_counted_in_place(spark):
     rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],), (None,)], "t array<string>").select(retrieval.counted(F.col("t")).alias("c")).collect()
     assert [r["c"] and [tuple(x) for x in r["c"]] for r in rows[:3]] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
