@@ -42,6 +42,8 @@ BANDS, ROWS = 32, 5
 MISS = 1e-6
 #: Cells of parities, 64 to a word.
 CELLS = 2_048
+#: Centres of the second stars of a bucket.
+CENTRES = 3
 #: Nodes of a bucket that are compared in one piece with as many others; larger buckets are cut into a grid.
 PIECE = 2_048
 #: Bits of the filter that spares texts outside all pairs their way to a join: 16 a node, at most 2 MB in all.
@@ -336,6 +338,12 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(likely("sa", "sb", threshold)).select("a", "b")
 
 
+def _split_buckets(several: DataFrame) -> DataFrame:
+    """Staged: the rows of (key, n, nid, component) whose bucket holds more than one class."""
+    split = several.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return stage(several.join(split, "key", "left_semi"), "nd-split")
+
+
 def _across(held: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """All likely (a, b) in one bucket but in two classes, for ``held`` of (key, n, nid, component).
 
@@ -375,11 +383,26 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     several = placed.where("n > 2").select("key", "n", "nid").join(found, placed["nid"] == found["node"], "left")
     several = stage(several.select("key", "n", "nid", F.coalesce("component", "nid").alias("component")), "nd-several")
     discard(placed)
-    split = several.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    held = stage(several.join(split, "key", "left_semi"), "nd-split")
+    held = _split_buckets(several)
     discard(several)
-    more = stage(_across(held, nodes, threshold).join(pairs, ["a", "b"], "left_anti"), "nd-more")
-    discard(held, pairs)
+    # more stars in buckets that are split, so that a group whose members differ more or less from one centre is one class before all pairs across classes are looked at
+    centres = held.groupBy("key").agg(F.array(*(F.min_by(F.struct("nid", "component"), F.xxhash64("nid", F.lit(turn))) for turn in range(CENTRES))).alias("c"))
+    beams = held.join(centres, "key").select("nid", "component", F.explode("c").alias("c")).where("component <> c.component")
+    beams = beams.select(F.least("nid", "c.nid").alias("a"), F.greatest("nid", "c.nid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = stage(_likely(beams, nodes, threshold), "nd-second")
+    tested = [pairs, second]
+    if not second.isEmpty():
+        shingled = shingles(second)
+        every = stage(links.union(verified(second, shingled, threshold)), "nd-links")
+        discard(shingled, links)
+        links, found = every, connected_components(every)
+        renamed = held.select("key", "n", "nid").join(found, held["nid"] == found["node"], "left")
+        again = stage(renamed.select("key", "n", "nid", F.coalesce("component", "nid").alias("component")), "nd-several")
+        discard(held)
+        held = _split_buckets(again)
+        discard(again)
+    more = stage(_across(held, nodes, threshold).join(pairs.union(second), ["a", "b"], "left_anti"), "nd-more")
+    discard(held, *tested)
     if not more.isEmpty():
         shingled = shingles(more)
         extra = stage(verified(more, shingled, threshold), "nd-links")
