@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import general, number, rounded
 from plumbline.operators import measures, netlist, spatial, textual
-from plumbline.plans.drawn import drawn
+from plumbline.plans.drawn import drawn, rooms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +76,23 @@ def block_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.block_inserts(f.entities, f.sheets, "DOOR").withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+@_query("""SELECT drawing_id, i * 10 + 3 AS ordinal, (i % 4 * 90)::DOUBLE AS rotation, CASE WHEN i % 4 IN (1, 2) THEN x + w ELSE x END AS x, CASE WHEN i % 4 IN (2, 3) THEN y + h ELSE y END AS y,
+  CASE WHEN k % 5 <> 4 THEN label END AS in_region FROM named""", ROOMS_SQL)
+def turned_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doors turned by quarters, each set at the corner from which it opens into its room; every fifth is turned by a half more and opens into none."""
+    e = drawn(spark, sf_dir).entities.where("layer IN ('ROOMS', 'ROOM_NAMES', 'DOORS')")
+    quarter = F.col("i") % 4
+    at = rooms(spark, sf_dir).select(
+        "drawing_id", (F.col("i") * 10 + 3).alias("ordinal"), (quarter * 90 + F.when(F.col("k") % 5 == 4, 180).otherwise(0)).cast("double").alias("rotation"),
+        F.when(quarter.isin(1, 2), F.col("x") + F.col("w")).otherwise(F.col("x")).alias("cx"), F.when(quarter.isin(2, 3), F.col("y") + F.col("h")).otherwise(F.col("y")).alias("cy"),
+    )
+    doors = e.where("layer = 'DOORS'").drop("rotation", "cx", "cy").join(at, ["drawing_id", "ordinal"]).select(*e.columns)
+    found = spatial.block_inserts(e.where("layer <> 'DOORS'").unionByName(doors), drawn(spark, sf_dir).sheets, "door")
+    # the half turn is taken off again, so that the angle tells the corner
+    turned = F.when(F.col("in_region").isNull(), F.col("rotation") - 180).otherwise(F.col("rotation"))
+    return found.select("drawing_id", *_long("ordinal"), turned.alias("rotation"), "x", "y", "in_region")
+
+
 @_query("SELECT drawing_id, region, label, CASE WHEN k % 3 <> 0 THEN 1 ELSE 0 END::BIGINT AS n FROM named", ROOMS_SQL)
 def count_per_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = drawn(spark, sf_dir)
