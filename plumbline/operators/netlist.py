@@ -220,9 +220,10 @@ def fed(parts: DataFrame, fed_by: DataFrame, attribute: str = "LOAD_W") -> DataF
     return whole.select("drawing_id", F.col("node.id").alias("root"), "type", "n", "total", "last_ordinal", "last", "first_tag", "first")
 
 
-def downstream_summary(parts: DataFrame, feeding: DataFrame, component_type: str = "MCB") -> DataFrame:
-    """One row per component of a type: its attributes, counts by type of what it feeds, their total, and cable, RCD and RCBO attributes; ``feeding`` is from ``fed``."""
-    roots = parts.where(F.upper("type") == component_type.upper()).select("drawing_id", F.col("tag").alias("root"), "ordinal", F.col("attribs").alias("own"))
+def downstream_summary(parts: DataFrame, feeding: DataFrame, component_type: str | None = "MCB") -> DataFrame:
+    """One row per component of a type, or of any if it is None: its attributes, counts by type of what it feeds, their total, and cable, RCD and RCBO attributes; ``feeding`` is from ``fed``."""
+    of_type = F.lit(True) if component_type is None else F.upper("type") == component_type.upper()
+    roots = parts.where(of_type).select("drawing_id", F.col("tag").alias("root"), "ordinal", F.col("attribs").alias("own"))
     last = [F.max_by(F.when(F.upper("type") == k, F.col("last")), F.when(F.upper("type") == k, F.col("last_ordinal"))).alias(k.lower()) for k in ("CABLE", "RCD", "RCBO")]
     feeds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("feeds")
     out = roots.join(feeding.groupBy("drawing_id", "root").agg(feeds, F.sum("total").alias("total"), *last), ["drawing_id", "root"], "left")

@@ -105,6 +105,17 @@ def count_per_region(entities: DataFrame, sheets: DataFrame, layer: str, region_
     return regions.join(counts, ["drawing_id", "region"], "left").select("drawing_id", "region", "label", F.coalesce("n", F.lit(0)).alias("count"))
 
 
+def held_by_layer(entities: DataFrame, sheets: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """drawing_id, region, item_layer (upper case) and n: entities of each layer in a closed region or within a tolerance of its boundary."""
+    extent = F.greatest(F.col("extents.x_max") - F.col("extents.x_min"), F.col("extents.y_max") - F.col("extents.y_min"), F.lit(1.0))
+    tol = F.lit(float(tolerance)) if tolerance is not None else 1e-4 * extent
+    boxed = closed_polygons(entities).join(sheets.select("drawing_id", tol.alias("tol")), "drawing_id")
+    items = entities.where("cx IS NOT NULL").select("drawing_id", F.upper("layer").alias("item_layer"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    near = points_in_boxes(items, boxed.select("drawing_id", "region", "vertices", "x_min", "y_min", "x_max", "y_max", "tol"), pad=F.col("tol"))
+    hits = near.where(point_in_polygon(F.col("px"), F.col("py"), F.col("vertices")) | near_boundary(F.col("px"), F.col("py"), F.col("vertices"), F.col("tol")))
+    return hits.groupBy("drawing_id", "region", "item_layer").agg(F.count(F.lit(1)).alias("n"))
+
+
 def segments(entities: DataFrame, layers: Column) -> DataFrame:
     """Segments (ax, ay)-(bx, by) of conductor lines and polylines, numbered in file order."""
     lines = entities.where(F.col("type").isin("LINE", "LWPOLYLINE", "POLYLINE") & layers & (F.size("vertices") > 1))
