@@ -188,4 +188,4 @@ def limits_of(chunks: DataFrame) -> DataFrame:
 def verdicts(facts: Facts, specs: DataFrame, chunks: DataFrame) -> DataFrame:
     """drawing_id, check, verdict and failing items of every drawing under its specification."""
     known = stage(limits_of(chunks), "limits")
-    return stage(compliance.verdicts(items(facts, specs, known)), "verdicts")
+    return stage(compliance.verdicts(items(facts, specs, known)), "verdicts", grows=True)
