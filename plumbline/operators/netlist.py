@@ -12,7 +12,7 @@ from plumbline.functions.geometry import number
 from plumbline.graph import connected_components
 from plumbline.operators.measures import CONDUCTORS
 from plumbline.operators.spatial import points_in_boxes, segments, touching
-from plumbline.staging import discard, scratch_path, stage, unsent
+from plumbline.staging import discard, scratch_path, sent_if_few, stage, unsent
 
 #: Attribute tags in order of precedence, and block names of supplies.
 TAGS = ("TAG", "REF", "REFDES", "NAME", "ID")
@@ -111,9 +111,11 @@ def distances(links: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFr
     A frontier goes from components to their nets and on to the nets' members; each net is
     opened once, so no pairs of a net are made. Neighbours differ by one hop at most, so
     what was reached before is known from the last nets and the last frontier alone: the
-    work and what is written grow with the components and nets reached. Raises where the
-    frontier isn't empty after ``most`` hops.
+    work and what is written grow with the components and nets reached. Links go from
+    component to component at once. Raises where the frontier isn't empty after ``most`` hops.
     """
+    if "net" not in links.columns:
+        return _distances_by_links(links, starts, most)
     member = incidence(links)
     levels = _Levels(links.sparkSession, "bfs")
     front, nets = levels.add(0, starts.select("drawing_id", "tag").distinct()), None
@@ -131,6 +133,27 @@ def distances(links: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFr
     raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
+def _either_way(links: DataFrame) -> DataFrame:
+    """(drawing_id, tag, next): every link of (drawing_id, a, b) from both its ends."""
+    return links.select("drawing_id", F.col("a").alias("tag"), F.col("b").alias("next")).union(links.select("drawing_id", "b", "a"))
+
+
+def _distances_by_links(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """``distances`` over links (drawing_id, a, b), which are read as they are: what is new is neither in the last frontier nor in the one before."""
+    steps, key = _either_way(links), ["drawing_id", "tag"]
+    levels = _Levels(links.sparkSession, "bfs")
+    front, before = levels.add(0, starts.select(*key).distinct()), None
+    for hop in range(1, most):
+        few = sent_if_few(front, front.count())
+        found = steps.join(few, key).select("drawing_id", F.col("next").alias("tag")).distinct().join(few, key, "left_anti")
+        if before is not None:
+            found = found.join(before, key, "left_anti")
+        front, before = levels.add(hop, found), few
+        if front.isEmpty():
+            return levels.whole().select(*key, F.col("level").alias("dist"))
+    raise RuntimeError(f"the frontier is not empty after {most} hops")
+
+
 def ways(links: DataFrame, dist: DataFrame) -> DataFrame:
     """(drawing_id, net, tag, level, below): members of nets that are reached, level being the hops to the net's nearest ones.
 
@@ -235,8 +258,11 @@ def paths(links: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
 
     ``links`` are as in ``distances``. Pairs without a way are absent; a way from a component
     to itself has no hops. All pairs of one start share its search. A net takes the smallest
-    way to any of its members and passes it on, so no pairs of a net are made.
+    way to any of its members and passes it on, so no pairs of a net are made. Links go from
+    component to component at once.
     """
+    if "net" not in links.columns:
+        return _paths_by_links(links, wanted, most)
     member = incidence(links)
     levels = _Levels(links.sparkSession, "path")
     starts = wanted.select("drawing_id", F.col("a").alias("start")).distinct()
@@ -257,6 +283,25 @@ def paths(links: DataFrame, wanted: DataFrame, most: int = 1000) -> DataFrame:
     raise RuntimeError(f"the frontier is not empty after {most} hops")
 
 
+def _paths_by_links(links: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """``paths`` over links (drawing_id, a, b), which are read as they are."""
+    steps, key = _either_way(links), ["drawing_id", "start", "tag"]
+    levels = _Levels(links.sparkSession, "path")
+    starts = wanted.select("drawing_id", F.col("a").alias("start")).distinct()
+    front, before = levels.add(0, starts.select("drawing_id", "start", F.col("start").alias("tag"), F.array("start").alias("path"))), None
+    for hop in range(1, most):
+        few = sent_if_few(front, front.count())
+        best = steps.join(few, ["drawing_id", "tag"]).groupBy("drawing_id", "start", F.col("next").alias("tag")).agg(F.min("path").alias("path"))
+        new = best.join(few.select(*key), key, "left_anti")
+        if before is not None:
+            new = new.join(before.select(*key), key, "left_anti")
+        front, before = levels.add(hop, new.select(*key, F.concat("path", F.array("tag")).alias("path"))), few
+        if front.isEmpty():
+            found = levels.whole().select("drawing_id", F.col("start").alias("a"), F.col("tag").alias("b"), "path")
+            return wanted.join(found, ["drawing_id", "a", "b"]).select("drawing_id", "a", "b", "path", (F.size("path") - 1).alias("hops"))
+    raise RuntimeError(f"the frontier is not empty after {most} hops")
+
+
 def path_between(links: DataFrame, a: str, b: str) -> DataFrame:
     """(drawing_id, path, hops): the way from a to b in every drawing that has one."""
     wanted = incidence(links).where(F.col("tag") == a).select("drawing_id", F.lit(a).alias("a"), F.lit(b).alias("b")).distinct()

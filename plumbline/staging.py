@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -59,6 +60,15 @@ def unsent(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of a table that may be sent whole to every machine.
+FEW = 50_000
+
+
+def sent_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have ``rows`` rows, as a side of joins: broadcast if they are few, else ``unsent``."""
+    return F.broadcast(df) if rows <= FEW else unsent(df)
+
+
 def stage(df: DataFrame, label: str, grows: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and return the table read back; one that ``grows`` with the input is ``unsent``."""
     spark = df.sparkSession

@@ -1,7 +1,9 @@
 """What is staged from drawings is never sent whole to the driver and all executors."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import netlist
 from plumbline.sources import dxf
 from plumbline.staging import stage
 
@@ -24,3 +26,12 @@ def test_sheets_from_rows_are_those_from_whole_drawings(spark, samples):
     for r in got:
         whole = want[r["drawing_id"].split("|")[0]]
         assert (r["units"], r["to_m"], r["layers"], r["extents"]) == (whole["units"], whole["to_m"], whole["layers"], whole["extents"])
+
+
+def test_searches_over_links_take_each_hop_from_the_links_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(netlist, "incidence", lambda links: pytest.fail("links are made into nets of two"))
+    links = spark.createDataFrame([("d", "a", "b"), ("d", "b", "c"), ("d", "a", "z"), ("d", "z", "c"), ("d", "c", "e"), ("d", "x", "y"), ("d", "c", "c"), ("d", "b", "a")], "drawing_id string, a string, b string")
+    starts = spark.createDataFrame([("d", "a")], "drawing_id string, tag string")
+    assert {r["tag"]: r["dist"] for r in netlist.distances(links, starts).collect()} == {"a": 0, "b": 1, "z": 1, "c": 2, "e": 3}
+    wanted = spark.createDataFrame([("d", "a", "e"), ("d", "e", "a"), ("d", "a", "y"), ("d", "a", "a")], "drawing_id string, a string, b string")
+    assert sorted((r["a"], r["b"], r["path"]) for r in netlist.paths(links, wanted).collect()) == [("a", "a", ["a"]), ("a", "e", ["a", "b", "c", "e"]), ("e", "a", ["e", "c", "b", "a"])]
