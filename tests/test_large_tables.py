@@ -1,9 +1,12 @@
 """What is staged from drawings is never sent whole to the driver and all executors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import netlist
+from plumbline.operators import netlist, retrieval
+from plumbline.plans import composed
 from plumbline.sources import dxf
 from plumbline.staging import stage
 
@@ -35,3 +38,20 @@ def test_searches_over_links_take_each_hop_from_the_links_as_they_are(spark, mon
     assert {r["tag"]: r["dist"] for r in netlist.distances(links, starts).collect()} == {"a": 0, "b": 1, "z": 1, "c": 2, "e": 3}
     wanted = spark.createDataFrame([("d", "a", "e"), ("d", "e", "a"), ("d", "a", "y"), ("d", "a", "a")], "drawing_id string, a string, b string")
     assert sorted((r["a"], r["b"], r["path"]) for r in netlist.paths(links, wanted).collect()) == [("a", "a", ["a"]), ("a", "e", ["a", "b", "c", "e"]), ("e", "a", ["e", "c", "b", "a"])]
+
+
+def test_nearest_gives_the_best_cosines_without_a_row_for_each_pair(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, [draw.choice([-1.5, -0.25, 0.0, 0.5, 2.0]) for _ in range(3 if i % 7 else 4)]) for i in range(300)] + [(300, None), (301, [None, 1.0, 2.0]), (302, []), (303, [float("nan"), 1.0, 1.0]), (5, [1.0, 2.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "doc long, v array<double>").repartition(3)
+    asked = vectors.where("doc % 5 = 0").withColumnRenamed("doc", "query")
+    asked = asked.where("query <> 5")
+    want = sorted(map(tuple, retrieval.top_k(retrieval.cosines(vectors, asked)).select("query", "doc", "rank", F.col("score").cast("string")).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "cosines", lambda *_: pytest.fail("a row for each pair"))
+    assert sorted(map(tuple, retrieval.nearest(vectors, asked).select("query", "doc", "rank", F.col("score").cast("string")).collect())) == want
+
+
+def test_dense_topk_makes_no_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "cosines", lambda *_: pytest.fail("a row for each pair"))
+    assert composed.dense_topk(spark, "/root/testdata/sf0.001").count() > 0
