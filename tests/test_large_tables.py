@@ -1,6 +1,7 @@
 """What is staged from drawings is never sent whole to the driver and all executors."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,3 +56,15 @@ def test_nearest_gives_the_best_cosines_without_a_row_for_each_pair(spark, monke
 def test_dense_topk_makes_no_row_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "cosines", lambda *_: pytest.fail("a row for each pair"))
     assert composed.dense_topk(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_no_corpus_is_dealt_to_one_task(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 9} other{i % 4} word{i % 5}") for i in range(40)], "doc long, text string")
+    asked = spark.createDataFrame([(1, "word3 other1")], "query long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sought in (retrieval.sought_tfidf(docs, asked), retrieval.sought_bm25(docs, asked)):
+            assert not re.search(r"hashpartitioning\(corpus#\d+, \d+\)", _plan(sought.post))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
