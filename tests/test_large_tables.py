@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry
 from plumbline.operators import netlist, retrieval
-from plumbline.plans import composed
+from plumbline.plans import composed, drawn
 from plumbline.sources import dxf
 from plumbline.staging import stage
 
@@ -68,3 +69,19 @@ def test_no_corpus_is_dealt_to_one_task(spark):
             assert not re.search(r"hashpartitioning\(corpus#\d+, \d+\)", _plan(sought.post))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_drawings_are_made_on_all_cores_without_a_function_for_each_vertex(spark):
+    plans = drawn._plans(spark, "/root/testdata/sf0.001")
+    assert "lambda" not in plans._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.where("layer = 'ROOMS'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    lines = plans.where("vertices IS NOT NULL")
+    length = F.when(F.col("type") == "LINE", geometry.segment_length(F.expr("vertices[0].x"), F.expr("vertices[0].y"), F.expr("vertices[1].x"), F.expr("vertices[1].y"))).otherwise(geometry.polyline_length(F.col("vertices"), F.col("closed")))
+    area = F.when(F.col("closed"), geometry.polygon_area(F.col("vertices")))
+    assert lines.count() > 0 and lines.where(~(F.col("length").eqNullSafe(length) & F.col("area").eqNullSafe(area))).isEmpty()
+
+
+def test_attributes_that_are_null_are_left_out(spark):
+    rows = spark.createDataFrame([("1", "2"), ("1", None), (None, None)], "a string, b string")
+    got = [r[0] for r in rows.select(drawn._attribs({"A": F.col("a"), "B": F.col("b")})).collect()]
+    assert got == [{"A": "1", "B": "2"}, {"A": "1"}, {}]
