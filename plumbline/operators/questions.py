@@ -182,7 +182,8 @@ def limits_of(chunks: DataFrame) -> DataFrame:
     docs = chunks.select(F.col("source").alias("corpus"), F.col("id").alias("doc"), "text")
     looked = docs.select("corpus").distinct().crossJoin(F.broadcast(compliance.searches(chunks.sparkSession)))
     hits = retrieval.search(docs, looked, k=compliance.TOP_HITS).join(docs, ["corpus", "doc"])
-    return compliance.limits(hits.select(F.col("corpus").alias("spec"), "query", "rank", "text"))
+    # staged, as every limit reads them: the search would stand in the driver's plan once for each
+    return compliance.limits(stage(hits.select(F.col("corpus").alias("spec"), "query", "rank", "text"), "limit-hits"))
 
 
 def verdicts(facts: Facts, specs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
-from plumbline.operators import netlist, retrieval
-from plumbline.plans import composed, drawn
+from plumbline.operators import netlist, questions, retrieval
+from plumbline.plans import asked, composed, drawn
 from plumbline.sources import dxf
 from plumbline.staging import stage
 
@@ -85,3 +85,9 @@ def test_attributes_that_are_null_are_left_out(spark):
     rows = spark.createDataFrame([("1", "2"), ("1", None), (None, None)], "a string, b string")
     got = [r[0] for r in rows.select(drawn._attribs({"A": F.col("a"), "B": F.col("b")})).collect()]
     assert got == [{"A": "1", "B": "2"}, {"A": "1"}, {}]
+
+
+def test_limits_hold_the_search_once_staged_not_once_for_each(spark):
+    known = questions.limits_of(asked._chunks(spark))
+    assert len(known._jdf.queryExecution().toString()) < 200_000
+    assert known.count() > 0
