@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
-from plumbline.operators import netlist, questions, retrieval
+from plumbline.operators import evaluation, netlist, questions, retrieval
 from plumbline.plans import asked, composed, drawn
 from plumbline.sources import dxf
 from plumbline.staging import stage
@@ -91,3 +91,39 @@ def test_limits_hold_the_search_once_staged_not_once_for_each(spark):
     known = questions.limits_of(asked._chunks(spark))
     assert len(known._jdf.queryExecution().toString()) < 200_000
     assert known.count() > 0
+
+
+def _corpora(spark):
+    draw = random.Random(5)
+    words = ["alpha", "beta", "gamma", *(f"w{i}" for i in range(30))]
+    docs = [(c, f"{c}{i}", " ".join(draw.choice(words[: draw.choice([3, 33])]) for _ in range(draw.randrange(12)))) for c in "xy" for i in range(250)]
+    asked = [(c, q, " ".join(draw.choice([*words, "unknown"]) for _ in range(draw.choice([1, 4])))) for c in "xy" for q in range(12)]
+    return stage(spark.createDataFrame(docs, "corpus string, doc string, text string"), "docs"), stage(spark.createDataFrame(asked, "corpus string, query long, text string"), "asked")
+
+
+def test_fusion_gives_the_best_of_all_pairs_without_a_row_for_each(spark, monkeypatch):
+    docs, asked = _corpora(spark)
+    of = lambda rows: sorted((r["corpus"], r["query"], r["rank"], r["doc"], r["bm25_rank"], r["dense_rank"]) for r in rows.collect())
+    want = of(retrieval.top_k(retrieval.rrf(retrieval.bm25(docs, asked), retrieval.tfidf(docs, asked), docs, asked), 3))
+    monkeypatch.setattr(retrieval, "CELL_DOCS", 60)  # so that a corpus has several cells and its queries several blocks
+    monkeypatch.setattr(retrieval, "CELL_QUERIES", 5)
+    both = retrieval.Fusion(retrieval.sought_bm25(docs, asked), retrieval.sought_tfidf(docs, asked), docs, asked, 3)
+    assert of(retrieval.top_k(both.fused(), 3)) == want and len(want) == 72
+
+
+def test_the_retrieval_report_makes_no_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "rrf", lambda *_, **__: pytest.fail("a row for each pair"))
+    monkeypatch.setattr(retrieval.Sought, "scores", lambda *_: pytest.fail("a row for each pair"))
+    pages = spark.createDataFrame([("s", 1, "1.1 red valve\n1.2 blue pump\n1.3 red pump"), ("t", 1, "2.1 green valve")], "source string, page int, text string")
+    asked = spark.createDataFrame([(1, "blue pump", "1.2"), (2, "green valve", "2.1")], "query long, text string, clause string")
+    lines = {r["mode"]: (r["chunks"], r["recall_1"]) for r in evaluation.retrieval_report(pages, asked, {"structure": retrieval.structure_chunks}).collect()}
+    assert lines == {m: (4, 1.0) for m in ("bm25", "dense", "hybrid")}
+
+
+def test_texts_are_counted_as_columns_cut_them_without_a_function_for_each_term(spark):
+    texts = [(1, "Pipe 2.50 mm, the PIPE 2.50mm; Kelvin İx a_b 1.2.3"), (2, ""), (3, None), (4, "the of")]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    for cut, columns in ((retrieval._words(retrieval.STOP), retrieval.tokens(F.col("text"))), (retrieval._word_grams(retrieval.STOP), retrieval._grams(F.col("text"), retrieval.STOP))):
+        got = retrieval._split(docs, "doc", cut, "cut")[0]
+        want = docs.select(F.lit(0).alias("corpus"), "doc", F.size(columns).alias("size"), retrieval.counted(columns).alias("ts"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
