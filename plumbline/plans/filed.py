@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources import dxf
+from plumbline.sources import dxf, dxf_format
 from plumbline.staging import scratch_path
 
 #: A drawing of this many is damaged by a line too many.
@@ -52,8 +52,8 @@ def dxf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_size") * 100 + 1000).cast("double").alias("w"), (k % 31 * 100 + 1800).cast("double").alias("h"), (k % 5 * 50 + 650).cast("double").alias("s"),
     )
     path = scratch_path(spark, "dxf")
-    _texts(part).write.partitionBy("name").text(path)
-    parsed = dxf.read_dxf(spark, path, files="*.txt", named=r"name=([^/]+)/")
+    dxf_format.write_files(_texts(part), path)
+    parsed = dxf.read_dxf(spark, path)
     found = parsed.select("drawing_id", "unit_code", "errors", F.explode("entities").alias("e")).select("drawing_id", "unit_code", "errors", "e.*")
     of = lambda kind, column: F.max(F.when(F.col("type") == kind, F.col(column)))
     return found.groupBy("drawing_id", "unit_code", "errors", F.regexp_extract("handle", r"^(\d+)", 1).cast("long").alias("k")).agg(

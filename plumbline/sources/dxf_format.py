@@ -15,12 +15,14 @@ moment in the order of their paths.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
@@ -51,6 +53,27 @@ def _open(where: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), unquote(re.sub(r"^file:", "", where))
 
 
+def write_files(texts: DataFrame, folder: str) -> None:
+    """Write each row of (name, value) as a file ``name``.dxf of the folder, all in one folder that is listed at once.
+
+    Tasks write by pyarrow, under another name until a file is whole: Spark's writers need a
+    folder for each name. A task that runs again writes the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _open(re.sub(r"^s3[an]:", "s3:", folder))
+        store.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch["name"].to_pylist(), batch["value"], strict=True):
+                temp = f"{path}/_temporary-{uuid.uuid4().hex}"
+                with store.open_output_stream(temp) as out:
+                    out.write(value.as_buffer())
+                store.move(temp, f"{path}/{name}.dxf")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    texts.select("name", "value").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def listed(where: str) -> list[_File]:
     """The files named ``*.dxf`` below a folder, or the one file that ``where`` names, by time of change and path."""
     store, path = _open(where)

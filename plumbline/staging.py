@@ -91,3 +91,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it has fewer partitions than there are cores, as small files have; else ``df`` as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Tasks for each core that many small files are read in.
+TASKS = 32
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in ``TASKS`` tasks for each core where it has more partitions, as thousands of small files have, which cost more than what they hold; else ``df`` as it is."""
+    most = df.sparkSession.sparkContext.defaultParallelism * TASKS
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df

@@ -108,7 +108,7 @@ def land(stream: DataFrame, table: str, checkpoint: str, late: str = "1 day") ->
 def entities(stream: DataFrame) -> DataFrame:
     """The entity table of arriving drawings, appended as they come; ``drawing_id`` is the upload's."""
     named = stream.where("kind = '.dxf'").select(F.col("upload_id").alias("drawing_id"), "content")
-    return dxf.entities(named.mapInPandas(dxf._parse_all(False), dxf.PARSED))
+    return dxf.entities(named.mapInArrow(dxf._parse_all(False), dxf.PARSED))
 
 
 def counts_by_window(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:

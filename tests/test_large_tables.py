@@ -6,10 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import staging
 from plumbline.functions import geometry
 from plumbline.operators import evaluation, netlist, questions, retrieval
 from plumbline.plans import asked, composed, drawn
-from plumbline.sources import dxf
+from plumbline.sources import dxf, dxf_format
 from plumbline.staging import stage
 
 
@@ -127,3 +128,20 @@ def test_texts_are_counted_as_columns_cut_them_without_a_function_for_each_term(
         got = retrieval._split(docs, "doc", cut, "cut")[0]
         want = docs.select(F.lit(0).alias("corpus"), "doc", F.size(columns).alias("size"), retrieval.counted(columns).alias("ts"))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_drawings_are_files_of_one_folder_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(f"plan-{i}", f"0\nSECTION\n2\nENTITIES\n0\nTEXT\n5\n{i}\n8\nNOTES\n10\n1\n20\n{i}\n1\nnote {i}\n0\nENDSEC\n0\nEOF") for i in range(90)], "name string, value string")
+    folder = str(tmp_path / "files")
+    dxf_format.write_files(texts, folder)
+    assert sorted(x.name for x in (tmp_path / "files").iterdir()) == sorted(f"plan-{i}.dxf" for i in range(90))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task for each file
+    monkeypatch.setattr(staging, "TASKS", 2)
+    monkeypatch.setattr(dxf, "HELD", 3)  # several batches from a task
+    try:
+        parsed = dxf.read_dxf(spark, folder)
+        assert parsed.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, dxf.entities(parsed).select("drawing_id", "ordinal", "text", "cy").collect())) == sorted((f"plan-{i}", 0, f"note {i}", float(i)) for i in range(90))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
