@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,26 @@ def test_drawings_are_files_of_one_folder_read_in_few_tasks(spark, tmp_path, mon
         assert sorted(map(tuple, dxf.entities(parsed).select("drawing_id", "ordinal", "text", "cy").collect())) == sorted((f"plan-{i}", 0, f"note {i}", float(i)) for i in range(90))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def _files(table):
+    return len([f for f in Path(table._plumbline_path).iterdir() if f.name.endswith(".parquet")])
+
+
+def test_shuffles_of_points_get_more_tasks_with_more_rows(spark, monkeypatch):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(staging, "TASK_ROWS", 400)
+    try:
+        hits = composed._hits(spark, "/root/testdata/sf0.001")
+        assert _files(hits) > 2 * int(usual) and spark.conf.get("spark.sql.shuffle.partitions") == usual
+        monkeypatch.setattr(staging, "TASK_ROWS", 10**9)
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, composed._hits(spark, "/root/testdata/sf0.001").collect()))
+        with pytest.raises(Exception, match="absent"):
+            stage(hits.selectExpr("raise_error('absent')"), "none", rows=10**12)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == usual
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
