@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import staging
+from plumbline import graph, staging
 from plumbline.functions import geometry
 from plumbline.operators import evaluation, netlist, questions, retrieval
 from plumbline.plans import asked, composed, drawn
@@ -169,3 +169,23 @@ def test_shuffles_of_points_get_more_tasks_with_more_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shuffles_of_components_get_more_tasks_with_more_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"s{i % 40}", f"p{i // 2}") for i in range(400)] + [("x", "y")], "a string, b string")
+    staged = {}
+
+    def kept(df, label, **told):
+        table = stage(df, label, **told)
+        staged[label] = _files(table)
+        return table
+
+    monkeypatch.setattr(graph, "stage", kept)
+    monkeypatch.setattr(staging, "TASK_ROWS", 25)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["node"]: r["component"] for r in graph.connected_components(edges, rows=401).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert staged["cc-pairs"] > 8 and staged["cc-labels"] > 8 and staged["cc-lower"] > 8  # the session has 4
+    assert got["x"] == got["y"] == "x" and len(got) == 242 and len(set(got.values())) == 21
