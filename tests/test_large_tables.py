@@ -1,5 +1,7 @@
 """What is staged from drawings is never sent whole to the driver and all executors."""
 
+import collections
+import math
 import random
 import re
 from pathlib import Path
@@ -189,3 +191,26 @@ def test_shuffles_of_components_get_more_tasks_with_more_edges(spark, monkeypatc
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert staged["cc-pairs"] > 8 and staged["cc-labels"] > 8 and staged["cc-lower"] > 8  # the session has 4
     assert got["x"] == got["y"] == "x" and len(got) == 242 and len(set(got.values())) == 21
+
+
+@pytest.mark.parametrize("corpus", [False, True])
+def test_lengths_move_no_gram_as_a_row(spark, monkeypatch, corpus):
+    """Documents' lengths against plain Python, over many chunks and cells; only grams of queries are kept as rows."""
+    monkeypatch.setattr(retrieval, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(retrieval, "CELL_CHARS", 900)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)] + ["the", "Été", "x"], k=rng.randint(0, 60))) for _ in range(120)] + ["", None, "w1 w1 w1 w1"]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2] if corpus else "a") for i, t in enumerate(texts)], "doc int, text string, corpus string")
+    queries = spark.createDataFrame([(0, "w1 w2", "a"), (1, "w3", "b")], "query int, text string, corpus string")
+    if not corpus:
+        docs, queries = docs.drop("corpus"), queries.drop("corpus")
+    cut, home = retrieval._word_grams(retrieval.STOP), lambda i: i % 2 if corpus else 0
+    grams = [collections.Counter(cut((t or "").lower())) for t in texts]
+    n, df = collections.Counter(home(i) for i in range(len(texts))), collections.Counter((home(i), g) for i, held in enumerate(grams) for g in held)
+    want = {i: math.sqrt(sum(((1 + math.log(k)) * (math.log((1 + n[home(i)]) / (1 + df[home(i), g])) + 1)) ** 2 for g, k in held.items())) for i, held in enumerate(grams)}
+    staged = {}
+    monkeypatch.setattr(retrieval, "stage", lambda frame, label, **more: staged.setdefault(label, stage(frame, label, **more)))
+    retrieval.sought_tfidf(docs, queries)
+    got = {r["doc"]: r["norm"] for r in staged["gram-lengths"].collect()}
+    assert got == pytest.approx(want, abs=1e-7)
+    assert {t["term"] for r in staged["tfidf-terms"].collect() for t in r["ts"]} == {"w1", "w2", "w1 w2", "w3"}
