@@ -214,3 +214,19 @@ def test_lengths_move_no_gram_as_a_row(spark, monkeypatch, corpus):
     got = {r["doc"]: r["norm"] for r in staged["gram-lengths"].collect()}
     assert got == pytest.approx(want, abs=1e-7)
     assert {t["term"] for r in staged["tfidf-terms"].collect() for t in r["ts"]} == {"w1", "w2", "w1 w2", "w3"}
+
+
+@pytest.mark.parametrize("corpus", [False, True])
+def test_a_hybrid_search_makes_no_row_for_each_pair(spark, monkeypatch, corpus):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=rng.randint(0, 30))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc int, text string, corpus string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices([f"w{j}" for j in range(40)], k=4)), "ab"[i % 2]) for i in range(8)] + [(8, "zzz", "a")], "query int, text string, corpus string")
+    if not corpus:
+        docs, queries = docs.drop("corpus"), queries.drop("corpus")
+    of = lambda rows: sorted((r["query"], r["rank"], r["doc"], round(r["score"], 9)) for r in rows.collect())
+    want = of(retrieval.top_k(retrieval.rrf(retrieval.bm25(docs, queries), retrieval.tfidf(docs, queries), docs, queries), 5))
+    monkeypatch.setattr(retrieval, "rrf", lambda *_, **__: pytest.fail("a row for each pair"))
+    monkeypatch.setattr(retrieval.Sought, "scores", lambda *_: pytest.fail("a row for each pair"))
+    found = retrieval.search(docs, queries)
+    assert of(found) == want and len(want) == 45 and ("corpus" in found.columns) == corpus
