@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from plumbline.functions.geometry import number
 from plumbline.graph import connected_components
+from plumbline.operators import apart
 from plumbline.operators.measures import CONDUCTORS
-from plumbline.operators.spatial import points_in_boxes, segments, touching
+from plumbline.operators.spatial import cut_into_segments, points_in_boxes, segments, touching
 from plumbline.staging import discard, scratch_path, sent_if_few, stage, unsent
 
 #: Attribute tags in order of precedence, and block names of supplies.
@@ -43,8 +44,28 @@ def components(entities: DataFrame) -> DataFrame:
 
 
 def attachments(entities: DataFrame, sheets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(drawing_id, net, tag): components whose box an end of a conductor touches; touching conductors are one net."""
-    sizes = _tolerances(sheets)
+    """(drawing_id, net, tag): components whose box an end of a conductor touches; touching conductors are one net.
+
+    A drawing of ``apart.MOST`` segments and components at most is solved in the task that
+    holds it; larger ones go through joins.
+    """
+    sizes, null = _tolerances(sheets), lambda kind: F.lit(None).cast(kind)
+    columns = lambda kind, ordinal, k, tag, *corners: [F.lit(kind).alias("kind"), ordinal.cast("long").alias("ordinal"), k.cast("int").alias("k"), tag.alias("tag"), *(c.cast("double").alias(n) for c, n in zip(corners, ("ax", "ay", "bx", "by"), strict=True))]
+    each = cut_into_segments(entities, is_conductor(F.col("layer")))
+    rows = [
+        sizes.select("drawing_id", *columns(0, null("long"), null("int"), null("string"), F.col("tol"), null("double"), null("double"), null("double"))),
+        each.select("drawing_id", *columns(1, F.col("ordinal"), F.col("k"), null("string"), *map(F.col, ("ax", "ay", "bx", "by")))),
+        parts.select("drawing_id", *columns(2, F.col("ordinal"), null("int"), F.col("tag"), *map(F.col, ("x_min", "y_min", "x_max", "y_max")))),
+    ]
+    shape = StructType([parts.schema["drawing_id"], StructField("net", IntegerType()), StructField("tag", StringType())])
+    found, large = apart.solved(reduce(DataFrame.union, rows), ["kind", "ordinal", "k"], apart.attached, shape, "net-apart")
+    if large.isEmpty():
+        return found
+    return found.union(_attached_by_joins(*(f.join(large, "drawing_id", "left_semi") for f in (entities, sizes, parts))))
+
+
+def _attached_by_joins(entities: DataFrame, sizes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``attachments`` of drawings of any size; ``sizes`` has their tolerances."""
     wires = stage(segments(entities, is_conductor(F.col("layer"))), "net-segments", grows=True)
     node = lambda c: F.struct("drawing_id", F.col(c).alias("n"))
     joined = connected_components(touching(wires, sizes).select(node("a").alias("a"), node("b").alias("b")))
@@ -113,9 +134,23 @@ def distances(links: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFr
     what was reached before is known from the last nets and the last frontier alone: the
     work and what is written grow with the components and nets reached. Links go from
     component to component at once. Raises where the frontier isn't empty after ``most`` hops.
+    Drawings of ``apart.MOST`` rows at most are searched in the tasks that hold them.
     """
     if "net" not in links.columns:
         return _distances_by_links(links, starts, most)
+    if not isinstance(links.schema["net"].dataType, (IntegerType, LongType, StringType)):
+        return _distances_by_nets(links, starts, most)
+    net = links.schema["net"].dataType
+    rows = starts.select("drawing_id", F.lit(0).alias("kind"), F.lit(None).cast(net).alias("net"), "tag").union(links.select("drawing_id", F.lit(1).alias("kind"), "net", "tag"))
+    shape = StructType([starts.schema["drawing_id"], StructField("tag", starts.schema["tag"].dataType), StructField("dist", IntegerType())])
+    found, large = apart.solved(rows, ["kind"], apart.reached(most), shape, "bfs-apart")
+    if large.isEmpty():
+        return found
+    return found.union(_distances_by_nets(*(f.join(large, "drawing_id", "left_semi") for f in (links, starts)), most))
+
+
+def _distances_by_nets(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """``distances`` over nets of drawings of any size, all drawings hop by hop."""
     member = incidence(links)
     levels = _Levels(links.sparkSession, "bfs")
     front, nets = levels.add(0, starts.select("drawing_id", "tag").distinct()), None
@@ -169,8 +204,22 @@ def downstream(fed_by: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
     Level by level, what leads to a net is passed to what the net feeds; each level is
     written once. These pairs are the result itself; ``fed`` sums up without making them.
-    ``roots`` (drawing_id, tag) limits it to some components.
+    ``roots`` (drawing_id, tag) limits it to some components. Drawings of ``apart.MOST`` rows
+    at most are searched in the tasks that hold them.
     """
+    net = fed_by.schema["net"].dataType
+    if roots is not None or not isinstance(net, (IntegerType, LongType, StringType)):
+        return _downstream_by_levels(fed_by, roots)
+    tag = fed_by.schema["tag"].dataType
+    shape = StructType([fed_by.schema["drawing_id"], StructField("root", tag), StructField("tag", tag)])
+    found, large = apart.solved(fed_by.select("drawing_id", "level", "net", "tag", "below"), [], apart.below, shape, "down-apart")
+    if large.isEmpty():
+        return found
+    return found.union(_downstream_by_levels(fed_by.join(large, "drawing_id", "left_semi"), None))
+
+
+def _downstream_by_levels(fed_by: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``downstream`` of drawings of any size, all drawings level by level."""
     levels = _Levels(fed_by.sparkSession, "down")
     last = fed_by.agg(F.max("level")).first()[0]
     own = fed_by.where("NOT below").select("drawing_id", F.col("tag").alias("root"), "tag", "level").distinct()

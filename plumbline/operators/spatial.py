@@ -116,14 +116,19 @@ def held_by_layer(entities: DataFrame, sheets: DataFrame, tolerance: float | Non
     return hits.groupBy("drawing_id", "region", "item_layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def segments(entities: DataFrame, layers: Column) -> DataFrame:
-    """Segments (ax, ay)-(bx, by) of conductor lines and polylines, numbered in file order."""
+def cut_into_segments(entities: DataFrame, layers: Column) -> DataFrame:
+    """Segments (ax, ay)-(bx, by) of conductor lines and polylines, each the k-th (from 0) of its entity."""
     lines = entities.where(F.col("type").isin("LINE", "LWPOLYLINE", "POLYLINE") & layers & (F.size("vertices") > 1))
     n = F.size("vertices")
     each = lines.select("drawing_id", "ordinal", "closed", "vertices", F.explode(F.sequence(F.lit(0), n - F.when(F.col("closed"), 1).otherwise(2))).alias("k"))
     a, b = F.get("vertices", F.col("k")), F.get("vertices", F.pmod(F.col("k") + 1, n))
+    return each.select("drawing_id", "ordinal", "k", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+
+
+def segments(entities: DataFrame, layers: Column) -> DataFrame:
+    """The segments of ``cut_into_segments``, numbered in file order."""
     number = F.row_number().over(W.partitionBy("drawing_id").orderBy("ordinal", "k")) - 1
-    return each.select("drawing_id", number.alias("segment"), a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    return cut_into_segments(entities, layers).select("drawing_id", number.alias("segment"), "ax", "ay", "bx", "by")
 
 
 def touching(parts: DataFrame, sizes: DataFrame) -> DataFrame:

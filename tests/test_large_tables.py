@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline import graph, staging
 from plumbline.functions import geometry
-from plumbline.operators import evaluation, netlist, questions, retrieval
+from plumbline.operators import apart, evaluation, netlist, questions, retrieval
 from plumbline.plans import asked, composed, drawn
 from plumbline.sources import dxf, dxf_format
 from plumbline.staging import stage
@@ -230,3 +230,24 @@ def test_a_hybrid_search_makes_no_row_for_each_pair(spark, monkeypatch, corpus):
     monkeypatch.setattr(retrieval.Sought, "scores", lambda *_: pytest.fail("a row for each pair"))
     found = retrieval.search(docs, queries)
     assert of(found) == want and len(want) == 45 and ("corpus" in found.columns) == corpus
+
+
+def test_small_drawings_are_solved_apart_and_large_ones_by_joins(facts, monkeypatch):
+    """Nets, distances and what lies below: no join for small drawings, and the same rows where each drawing, or some, is too large for one task."""
+    key = lambda rows: sorted(map(tuple, rows.collect()))
+
+    def run():
+        attached = netlist.attachments(facts.entities, facts.sheets, facts.parts)
+        attached = stage(attached, "test-nets")
+        dist = stage(netlist.distances(attached, netlist.sources(facts.parts)), "test-dist")
+        return [key(rows.select("drawing_id", *rest)) for rows, rest in ((attached, ("net", "tag")), (dist, ("tag", "dist")), (netlist.downstream(netlist.ways(attached, dist)), ("root", "tag")))]
+
+    with monkeypatch.context() as patch:
+        for name in ("touching", "points_in_boxes"):
+            patch.setattr(netlist, name, lambda *_, **__: pytest.fail("small drawings went through joins"))
+        small = run()
+    assert all(small)
+    sizes = sorted(r["count"] for r in facts.entities.groupBy("drawing_id").count().collect())
+    for most in (0, sizes[len(sizes) // 2]):
+        monkeypatch.setattr(apart, "MOST", most)
+        assert run() == small
